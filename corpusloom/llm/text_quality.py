@@ -30,7 +30,9 @@ FUNCTION_WORDS = frozenset(
 #: Words of the n-grams whose repetition counts.
 GRAM = 4
 #: Share of a text in one n-gram from which it is endlessly repeated.
-REPEATED = 0.35
+REPEATED = 0.5
+#: Times that an n-gram stands in a text before it counts as repeated.
+REPEATS = 5
 
 MARK = re.compile(r"(?:[-*•·+→▪◦‣–—>○●]|\[[ xX]?\]|[(（]?\d{1,4}[.)、）](?!\d)|[(（]?[a-zA-Z][.)）](?=\s)|[①-⑳])\s*(?=\S)")
 GAPS = re.compile(r"(?<=\S) {2,}(?=\S)")
@@ -139,10 +141,10 @@ def layout(text: str) -> tuple[int, int, int, int]:
         if not barred and in_sentences(plain):
             sentences += n
             going = short[-1] not in "。.!?！？"
-        elif is_row(line, short) or RULE.fullmatch(short):
+        elif (row := is_row(line, short) or RULE.fullmatch(short)) and ("<t" in short or not is_noise(short)):
             rows += n
             going = False
-        elif is_noise(short):
+        elif row or is_noise(short):
             noise += n
             going = False
         elif going and not marked:
@@ -165,7 +167,7 @@ def repetition(words: list[str], text: str) -> tuple[float, float, float]:
     covered = 0.0
     if len(words) >= 3 * GRAM:
         gram, n = Counter(zip(*[words[i:] for i in range(GRAM)], strict=False)).most_common(1)[0]
-        covered = min(1.0, n * sum(map(len, gram)) / sum(map(len, words))) if n > 2 else 0.0
+        covered = min(1.0, n * sum(map(len, gram)) / sum(map(len, words))) if n >= REPEATS else 0.0
     return share(lines), share(paragraphs), covered
 
 
