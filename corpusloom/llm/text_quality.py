@@ -10,18 +10,14 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter
-from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CJK = "一-鿿"
 WORD = re.compile(rf"[{CJK}]|[^\W{CJK}]+")
-RUN = re.compile(rf"[^\W{CJK}]+")
 CJK_RUN = re.compile(f"[{CJK}]+")
-SYMBOL_RUN = re.compile(r"[^\w\s]+")
-LINE_END = frozenset(".!?;:。！？；：…")
 # Function words by which English sentences show, whatever the table of common words holds.
 FUNCTION_WORDS = frozenset(
     "a after an and are as at be been before by can could each for from had has have if in is it its may must not of on only or shall should so that the "
@@ -189,66 +185,84 @@ def readable(text: str) -> str:
     return text
 
 
-STATISTICS = (
-    "words long, mean_word_length double, symbol_share double, punctuated_line_share double, common_word_share double, "
+LAYOUT = (
     "sentence_share double, row_share double, item_share double, noise_share double, "
     "duplicate_line_share double, duplicate_paragraph_share double, top_gram_share double, content_class string"
 )
 
 
-def common_pattern(words: Iterable[str]) -> tuple[frozenset[str], re.Pattern | None]:
-    """Common words: those looked up among a text's words, and a pattern of the Chinese ones, longest first."""
-    lower = {w.lower() for w in words if w}
-    chinese = sorted((w for w in lower if CJK_CHAR.search(w)), key=lambda w: (-len(w), w))
-    return frozenset(lower - set(chinese)), re.compile("|".join(map(re.escape, chinese))) if chinese else None
+def layout_statistics(text: str | None) -> tuple:
+    """Layout and repetition statistics and the class of one text; null and blank texts count 0 and are prose."""
+    text = readable(text or "")
+    parts = layout(text)
+    repeats = repetition(WORD.findall(text), text)
+    total = sum(parts) or 1
+    return (*(x / total for x in parts), *repeats, content_class(*parts, repeats[2]))
 
 
-def plain_statistics(text: str, common: frozenset[str], chinese: re.Pattern | None) -> tuple:
-    """Word count, mean word length, symbol share, share of lines ending in punctuation, common word share.
+def layout_of(text: Column) -> Column:
+    """The struct of ``LAYOUT`` of a text."""
 
-    A word is a Chinese character or a run of other letters, digits and underscores. Symbols are counted among all
-    characters that aren't white space. Of the common words the Chinese ones count their characters.
-    """
-    runs = RUN.findall(text)
-    characters = sum(map(len, CJK_RUN.findall(text)))
-    n = len(runs) + characters
-    letters = sum(map(len, runs)) + characters
-    dense = sum(map(len, text.split()))
-    ends = [x[-1] for x in map(str.strip, text.split("\n")) if x]
-    known = sum(map(common.__contains__, map(str.lower, runs))) + (sum(map(len, chinese.findall(text))) if chinese and characters else 0)
-    return (
-        n,
-        letters / n if n else 0.0,
-        sum(map(len, SYMBOL_RUN.findall(text))) / dense if dense else 0.0,
-        sum(map(LINE_END.__contains__, ends)) / len(ends) if ends else 0.0,
-        known / n if n else 0.0,
-    )
+    @F.pandas_udf(LAYOUT)
+    def layouts(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([layout_statistics(t) for t in texts], columns=[c.split()[0] for c in LAYOUT.split(", ")])
 
+    return layouts.asNondeterministic()(text)  # so that a filter on it does not run it twice
 
-def statistics_of(text: str | None, common: frozenset[str], chinese: re.Pattern | None) -> tuple:
-    """All statistics and the class of one text; null and blank texts count 0 everywhere and are prose."""
-    text = text or ""
-    plain = readable(text)
-    parts = layout(plain)
-    repeats = repetition(WORD.findall(plain), plain)
-    total = sum(parts) or 1
-    return (*plain_statistics(text, common, chinese), *(x / total for x in parts), *repeats, content_class(*parts, repeats[2]))
 
+#: White space by Unicode, as a class of Java's and other engines' regular expressions.
+SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LETTER = r"[\p{L}\p{N}_]"
+CHARACTER = r"[\x{4e00}-\x{9fff}]"
+# Characters that end a line as punctuation.
+LINE_ENDS = ".!?;:。！？；：…"
 
-def quality_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """``doc_id`` and the ``STATISTICS`` of every row, computed in place over whole texts, without a shuffle.
 
-    ``common_words`` is a short list per language by its nature. Null texts count 0 everywhere; rows without
-    ``doc_id`` are left out; repeated rows give repeated rows.
+def plain_statistics(text: Column, common: list[str]) -> dict[str, Column]:
+    """Word count, mean word length, symbol share, share of lines ending in punctuation, common word share.
+
+    A word is a Chinese character or a run of other letters, digits and underscores. Symbols are counted among all
+    characters that aren't white space, line ends among lines that aren't blank. Of the common words the Chinese
+    ones count the characters that they cover, longest first. Shares of nothing are 0.
     """
-    common = documents.sparkSession.sparkContext.broadcast(tuple(r[0] for r in common_words.where("word is not null").select("word").distinct().collect()))
+    latin = sorted({w.lower() for w in common if not CJK_RUN.search(w)})
+    chinese = sorted({w for w in common if CJK_RUN.search(w)}, key=lambda w: (-len(w), w))
+
+    def without(pattern: str) -> Column:
+        return F.length(F.regexp_replace(text, pattern, ""))
+
+    def share(part: Column, whole: Column) -> Column:
+        return F.when(whole > 0, part / whole).otherwise(0.0)
+
+    runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_&&[^\x{4e00}-\x{9fff}]]+"), F.lit(0))
+    letters, dense = F.length(text) - without(LETTER), without(SPACE)
+    words = F.size(runs) + F.length(text) - without(CHARACTER)
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, SPACE + "+$", "")), lambda x: x != "")
+    ended = F.filter(lines, lambda x: F.contains(F.lit(LINE_ENDS), F.substring(x, -1, 1)))
+    known = F.size(F.filter(runs, lambda w: F.lower(w).isin(latin))) if latin else F.lit(0)
+    if chinese:
+        known = known + F.length(text) - without("|".join(map(re.escape, chinese)))
+    return {
+        "words": words.cast("long"),
+        "mean_word_length": share(letters, words),
+        "symbol_share": share(dense - letters, dense),
+        "punctuated_line_share": share(F.size(ended), F.size(lines)),
+        "common_word_share": share(known, words),
+    }
 
-    @F.pandas_udf(STATISTICS)
-    def statistics(texts: pd.Series) -> pd.DataFrame:
-        latin, chinese = common_pattern(common.value)
-        return pd.DataFrame([statistics_of(t, latin, chinese) for t in texts], columns=[c.split()[0] for c in STATISTICS.split(", ")])
 
-    return documents.where("doc_id is not null").select("doc_id", statistics("text").alias("s")).select("doc_id", "s.*")
+def quality_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
+    """``doc_id``, the plain, layout and repetition statistics and ``content_class`` of every row.
+
+    Computed in place over whole texts, without a shuffle: the plain statistics by built-in functions, the others in
+    Arrow batches. ``common_words`` is a short list per language by its nature. Null texts count as empty ones; rows
+    without ``doc_id`` are left out; repeated rows give repeated rows.
+    """
+    common = [r[0] for r in common_words.where("word is not null and word <> ''").select("word").distinct().orderBy("word").collect()]
+    texts = documents.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.select("doc_id", *[c.alias(n) for n, c in plain_statistics(F.col("text"), common).items()], layout_of(F.col("text")).alias("layout")).select(
+        "doc_id", "words", "mean_word_length", "symbol_share", "punctuated_line_share", "common_word_share", "layout.*"
+    )
 
 
 def not_prose(documents: DataFrame, common_words: DataFrame) -> DataFrame:
