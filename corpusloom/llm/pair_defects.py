@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SHINGLE = 3
 #: Share of the response's shingles in the prompt, and of the prompt in their common subsequence, of a copy.
 COPY_CONTAINMENT, COPY_SUBSEQUENCE = 0.6, 0.75
+#: The same of a response that leaves out a clause of the prompt and adds nothing.
+PART_CONTAINMENT, PART_SUBSEQUENCE = 0.9, 0.5
 #: Share of a refusal template that the response must follow, and tokens that it may have beside it.
 REFUSAL_FOLLOWED, REFUSAL_REST = 0.75, 14
 
@@ -143,10 +145,11 @@ def is_refusal(answer: str) -> bool:
 def is_copy(question: str, answer: str) -> bool:
     """Whether an answer only gives the question back, also twice or with a lead."""
     q, a = tokens(question), tokens(LEAD.sub("", answer, count=1))
-    if len(q) < 4 or len(a) < 0.6 * len(q) or len(a) > 4 * len(q) + 12:
+    if len(q) < 4 or len(a) < PART_SUBSEQUENCE * len(q) or len(a) > 4 * len(q) + 12:
         return False
     own, asked = shingles(a), shingles(q)
-    return len(own & asked) >= COPY_CONTAINMENT * len(own) and subsequence(q, a) >= COPY_SUBSEQUENCE * len(q)
+    contained, common = len(own & asked) / len(own), subsequence(q, a) / len(q)
+    return contained >= COPY_CONTAINMENT and common >= COPY_SUBSEQUENCE or contained >= PART_CONTAINMENT and common >= PART_SUBSEQUENCE
 
 
 def is_value(segment: str) -> bool:
