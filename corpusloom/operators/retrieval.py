@@ -1,3 +1,94 @@
-"""placeholder"""
-def queries(): return {}
-def oracle_sql(): return {}
+"""Keyword and vector retrieval over DataFrames: postings, BM25, cosine top-k, reciprocal-rank fusion."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from corpusloom.functions.text import search_tokens
+
+#: BM25 parameters and the constant of reciprocal-rank fusion.
+K1, B = 1.5, 0.75
+RRF_K = 60
+
+
+def postings(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``term, key, tf, dl``: how often each search token stands in each text, and the text's length in tokens.
+
+    Null texts have no tokens and give no rows; a repeated key counts its texts together.
+    """
+    tokens = texts.select(F.col(key), search_tokens(F.col(text)).alias("tokens"))
+    terms = tokens.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return terms.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+
+
+def bm25_stats(index: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row ``docs, terms, postings, avgdl`` of an index of ``postings``."""
+    lengths = index.groupBy(key).agg(F.max("dl").alias("dl"))
+    documents = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
+    terms = index.groupBy("term").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("postings"))
+    return documents.join(terms).select("docs", "terms", "postings", "avgdl")  # one row each
+
+
+def ranked(scores: DataFrame, key: str, k: int) -> DataFrame:
+    """The best ``k`` rows of each ``query_id`` by ``score``, then key; with ``rank`` from 1."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def bm25_topk(queries: DataFrame, texts: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``query_id, key, score, rank``: the best ``k`` texts of every query (``query_id, query_text``) by BM25.
+
+    A text without any query term has no row. Only postings of query terms are scored; frequent terms meet few
+    queries, so the join grows with the texts. Lengths and frequencies count over all texts.
+    """
+    lengths = texts.select(F.col(key), F.size(search_tokens(F.col(text))).alias("dl")).where("dl > 0")
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = stats["n"], stats["avgdl"] or 1.0
+    wanted = queries.select("query_id", F.explode(F.array_distinct(search_tokens(F.col("query_text")))).alias("term"))
+    index = postings(texts, key, text).join(wanted.select("term").distinct(), "term", "left_semi")
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    scored = wanted.join(df, "term").join(index, "term").groupBy("query_id", key).agg(F.sum(idf * weight).alias("score"))
+    return ranked(scored.withColumn("score", F.round("score", 6)), key, k).select("query_id", key, "score", "rank")
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score, rank``: the ``k`` nearest vectors of each query by cosine, exact, itself left out.
+
+    The stated query set meets all vectors in blocks: every task holds its vectors and goes through the queries, a
+    bounded set. Null and zero vectors and those of another length match nothing.
+    """
+    unit = lambda v: F.sqrt(dot(v, v))
+    q = queries.select("query_id", F.col("embedding").alias("qv")).withColumn("ql", unit(F.col("qv"))).where("ql > 0")
+    d = vectors.select("vec_id", F.col("embedding").alias("dv")).withColumn("dl", unit(F.col("dv"))).where("dl > 0")
+    near = (F.col("query_id") != F.col("vec_id")) & (F.size("qv") == F.size("dv"))
+    scored = d.join(q, near).select("query_id", "vec_id", F.round(dot(F.col("qv"), F.col("dv")) / (F.col("ql") * F.col("dl")), 6).alias("score"))
+    return ranked(scored, "vec_id", k)
+
+
+def fuse(*rankings: DataFrame, key: str, k: int) -> DataFrame:
+    """``query_id, key, score, rank``: reciprocal-rank fusion of rankings (``query_id, key, rank``)."""
+    parts = [r.select("query_id", key, (1.0 / (RRF_K + F.col("rank"))).alias("part")) for r in rankings]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return ranked(every.groupBy("query_id", key).agg(F.round(F.sum("part"), 9).alias("score")), key, k)
+
+
+def vector_violations(vectors: DataFrame, dimensions: int) -> DataFrame:
+    """``vec_id, error_code`` of vectors that break the contract: length, finite numbers, not all zero."""
+    v = F.col("embedding")
+    code = (
+        F.when(v.isNull(), "vector_missing")
+        .when(F.size(v) != dimensions, "vector_dimensions")
+        .when(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "vector_not_finite")
+        .when(~F.exists(v, lambda x: x != 0), "vector_zero")
+    )
+    return vectors.select("vec_id", code.alias("error_code")).where("error_code is not null")

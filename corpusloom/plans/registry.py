@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from corpusloom.operators import retrieval
-
-Query = Callable[[SparkSession, str], DataFrame]
+from corpusloom.plans import core_queries, core_sql
 
 FLAGSHIP = "hybrid_retrieval"
 
-
-def queries() -> dict[str, Query]:
-    return {**retrieval.queries()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {**retrieval.oracle_sql()}
+queries = core_queries.queries
+oracle_sql = core_sql.oracle_sql
