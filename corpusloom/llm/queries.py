@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import cross_split, keyed_splits, leakage, packing, pair_defects, text_quality, visual_text
+from corpusloom.llm import cross_split, keyed_splits, leakage, packing, pair_defects, scan_repair, text_quality, visual_text
 from corpusloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,14 @@ def p1_group_coverage(spark: SparkSession, d: str) -> DataFrame:
     return groups.groupBy("case_id").agg(F.count(F.lit(1)).alias("term_groups"), F.sum("v").alias("seen_groups"), F.sum("e").alias("matched_groups"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.scan_noise(table(spark, d, "elements"))
+
+
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.repaired_paragraphs(table(spark, d, "elements"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return keyed_splits.torn_components(table(spark, d, "catalog_entries"))
 
@@ -96,7 +104,7 @@ def p8_layout(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        p1_found, p1_canonical_terms, p1_group_coverage, p3_found, p3_components, p3_assignment, p3_split_totals, p4_found, p5_found, p5_report,
+        p1_found, p1_canonical_terms, p1_group_coverage, p2_found, p2_paragraphs, p3_found, p3_components, p3_assignment, p3_split_totals, p4_found, p5_found, p5_report,
         p6_assignment, p6_fill, p7_found, p7_items, p8_found, p8_statistics, p8_layout,
     )
     return {q.__name__: q for q in own}

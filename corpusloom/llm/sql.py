@@ -80,11 +80,12 @@ counted as (
     length(text) - length(regexp_replace(text, (select chinese from patterns), '', 'g')) known_characters,
     list_filter([regexp_replace(x, '{space}+$', '') for x in string_split(text, chr(10))], lambda x: x <> '') lines
   from texts),
+joined as (select counted.*, patterns.latin from counted, patterns),
 parts as (
   select doc_id, len(runs) + characters words, letters, dense, len(lines) lines,
     len(list_filter(lines, lambda x: contains({quoted(LINE_ENDS)}, right(x, 1)))) ended,
-    len(list_filter(runs, lambda w: list_contains((select latin from patterns), lower(w)))) + known_characters known
-  from counted)
+    len(list_filter(runs, lambda w: list_contains(latin, lower(w)))) + known_characters known
+  from joined)
 select doc_id, cast(words as bigint) words,
   round(case when words > 0 then letters / words else 0 end, 6) mean_word_length,
   round(case when dense > 0 then (dense - letters) / dense else 0 end, 6) symbol_share,
