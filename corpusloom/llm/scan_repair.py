@@ -27,12 +27,14 @@ WORD_RATIO, WORD_LEAST = 8, 5
 NAME_RATIO, NAME_LEAST = 2, 2
 LISTED_RATIO, LISTED_LEAST = 4, 5
 CONTEXT_RATIO, CONTEXT_LEAST = 20, 20
+#: The same for one half of a character's context, that is with one neighbour.
+HALF_RATIO = 10
 
 # Letters as recognition confuses them, read and meant.
 LETTER_CONFUSIONS = (
     ("0", "o"), ("0", "O"), ("1", "l"), ("1", "i"), ("1", "I"), ("5", "s"), ("5", "S"), ("8", "B"), ("6", "b"), ("6", "G"), ("9", "g"), ("9", "q"), ("2", "z"), ("2", "Z"), ("3", "e"), ("4", "a"),
     ("c", "e"), ("e", "c"), ("l", "i"), ("i", "l"), ("I", "l"), ("l", "I"), ("b", "h"), ("h", "b"), ("ri", "n"), ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("u", "ii"),
-    ("li", "h"), ("vv", "w"), ("w", "vv"), ("nn", "m"), ("tl", "d"), ("f", "t"), ("t", "f"), ("o", "c"), ("c", "o"), ("o", "e"), ("a", "o"), ("n", "u"), ("u", "n"), ("v", "y"), ("q", "g"), ("g", "q"), ("ni", "m"), ("in", "m"), ("j", "i"),
+    ("li", "h"), ("h", "li"), ("vv", "w"), ("w", "vv"), ("nn", "m"), ("tl", "d"), ("f", "t"), ("t", "f"), ("o", "c"), ("c", "o"), ("o", "e"), ("a", "o"), ("n", "u"), ("u", "n"), ("v", "y"), ("q", "g"), ("g", "q"), ("ni", "m"), ("in", "m"), ("j", "i"),
 )
 # Chinese characters as recognition confuses them, read and meant.
 CHARACTER_CONFUSIONS = (
@@ -283,8 +285,9 @@ def trigrams(text: Column) -> Column:
 def misread_characters(texts: DataFrame) -> DataFrame:
     """``element_id, word, meant``: a character with its neighbours as read, and as meant.
 
-    In its context another character must be far more frequent: somewhat so for the usual confusions, much more so
-    for any other pair, and then in both halves of the context.
+    In its context another character must be far more frequent. For the usual confusions it is enough that it is
+    somewhat so, or that one half of the context says so and the other agrees; for any other pair it must be much
+    more so, in both halves.
     """
     grams = cut_lineage(texts.select("element_id", F.explode(trigrams(F.col("text"))).alias("g")))
     counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
@@ -294,11 +297,17 @@ def misread_characters(texts: DataFrame) -> DataFrame:
     counts = cut_lineage(counts.withColumn("lx", left).withColumn("xr", right))
     top = counts.groupBy("l", "r").agg(F.max_by(F.struct("x", "n", "lx", "xr"), F.struct("n", "x")).alias("t"))
     top = top.select("l", "r", F.col("t.x").alias("y"), F.col("t.n").alias("m"), F.col("t.lx").alias("ly"), F.col("t.xr").alias("yr"))
-    other = counts.join(top.where(F.col("m") >= CONTEXT_LEAST), ["l", "r"]).where((F.col("m") >= CONTEXT_RATIO * F.col("n")) & (F.col("ly") >= 10 * F.col("lx")) & (F.col("yr") >= 10 * F.col("xr")))
+    other = counts.join(top.where(F.col("m") >= CONTEXT_LEAST), ["l", "r"]).where((F.col("m") >= CONTEXT_RATIO * F.col("n")) & (F.col("ly") >= HALF_RATIO * F.col("lx")) & (F.col("yr") >= HALF_RATIO * F.col("xr")))
     pairs = F.create_map(*[F.lit(x) for read, meant in sorted({(p[0], p[1]) for p in CHARACTER_CONFUSIONS}) for x in (read, meant)])
     usual = counts.withColumn("y", F.element_at(pairs, F.col("x"))).where("y is not null")
-    meant = counts.select("l", F.col("x").alias("y"), "r", F.col("n").alias("m"))
-    usual = usual.join(meant, ["l", "y", "r"]).where((F.col("m") >= LISTED_LEAST) & (F.col("m") >= LISTED_RATIO * F.col("n")))
+    whole = counts.select("l", F.col("x").alias("y"), "r", F.col("n").alias("m"))
+    lefts = counts.groupBy("l", F.col("x").alias("y")).agg(F.max("lx").alias("ly"))
+    rights = counts.groupBy(F.col("x").alias("y"), "r").agg(F.max("xr").alias("yr"))
+    usual = usual.join(whole, ["l", "y", "r"], "left").join(lefts, ["l", "y"], "left").join(rights, ["y", "r"], "left").na.fill(0, ["m", "ly", "yr"])
+    in_context = (F.col("m") >= LISTED_LEAST) & (F.col("m") >= LISTED_RATIO * F.col("n"))
+    left_says, right_says = (F.col("ly") >= F.greatest(HALF_RATIO * F.col("lx"), F.lit(HALF_RATIO))), (F.col("yr") >= F.greatest(HALF_RATIO * F.col("xr"), F.lit(HALF_RATIO)))
+    halves = (left_says & (F.col("yr") > F.col("xr"))) | (right_says & (F.col("ly") > F.col("lx")))
+    usual = usual.where(in_context | halves)
     found = other.select("g", "y").unionByName(usual.select("g", "y")).groupBy("g").agg(F.min("y").alias("y"))
     return grams.join(found, "g").select("element_id", F.col("g").alias("word"), F.concat(F.substring("g", 1, 1), "y", F.substring("g", 3, 1)).alias("meant"))
 
