@@ -28,7 +28,8 @@ def bm25_stats(index: DataFrame, key: str = "doc_id") -> DataFrame:
     lengths = index.groupBy(key).agg(F.max("dl").alias("dl"))
     documents = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
     terms = index.groupBy("term").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("postings"))
-    return documents.join(terms).select("docs", "terms", "postings", "avgdl")  # one row each
+    both = documents.unionByName(terms, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("docs", "terms", "postings", "avgdl")])
 
 
 def ranked(scores: DataFrame, key: str, k: int) -> DataFrame:

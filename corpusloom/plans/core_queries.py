@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import search_bigrams, search_tokens
-from corpusloom.operators import corpus, elements, evaluation, retrieval
+from corpusloom.operators import corpus, documents, elements, evaluation, retrieval
 from corpusloom.operators.components import connected_components
 from corpusloom.session import table
 from corpusloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Names and patterns that the secret scan looks for.
+SECRETS = {"hex_digest": r"\b[0-9a-f]{64}\b", "base64_block": r"[A-Za-z0-9+/]{60,}", "home_path": r"/(?:home|Users)/[a-z]+", "key_assignment": r"(?i)(?:api[_-]?key|secret|token)\s*[:=]\s*\S+"}
 #: Results per query, and candidates that each ranking gives to the fusion.
 TOP, CANDIDATES = 5, 10
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -255,12 +257,12 @@ def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
     The keyword query is the title of the document with the query's number.
     """
     queries, vectors = vector_queries(spark, d)
-    documents = table(spark, d, "documents").join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    asked = documents.join(queries.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").where("title is not null")
-    keyword = retrieval.bm25_topk(asked.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query_text")), documents, CANDIDATES)
+    texts = table(spark, d, "documents").join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    asked = texts.join(queries.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").where("title is not null")
+    keyword = retrieval.bm25_topk(asked.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query_text")), texts, CANDIDATES)
     dense = retrieval.cosine_topk(queries, vectors, CANDIDATES).withColumnRenamed("vec_id", "doc_id")
     fused = retrieval.fuse(dense, keyword, key="doc_id", k=TOP)
-    return fused.join(documents.select("doc_id", "title"), "doc_id", "left").select("query_id", "doc_id", "score", "rank", "title")
+    return fused.join(texts.select("doc_id", "title"), "doc_id", "left").select("query_id", "doc_id", "score", "rank", "title")
 
 
 def vector_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -303,6 +305,75 @@ def source_distinct(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.countDistinct(F.sha2("text", 256)).alias("texts"), F.max("n_chars").alias("longest"))
 
 
+def heading_sections(spark: SparkSession, d: str) -> DataFrame:
+    return documents.heading_sections(table(spark, d, "documents"))
+
+
+def text_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return documents.text_paragraphs(table(spark, d, "documents"))
+
+
+def html_table_rows(spark: SparkSession, d: str) -> DataFrame:
+    return documents.html_rows(table(spark, d, "documents"))
+
+
+def secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return documents.pattern_hits(table(spark, d, "documents"), SECRETS)
+
+
+def content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's SHA-256 and length in bytes."""
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("bytes"))
+
+
+def catalog_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were delivered more than once, and whether the deliveries differ in content or split."""
+    rows = table(spark, d, "catalog_entries").groupBy("document_id").agg(F.count(F.lit(1)).alias("deliveries"), F.countDistinct("sha256").alias("contents"), F.countDistinct("split").alias("splits"))
+    return rows.where("deliveries > 1")
+
+
+def catalog_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of twenty documents by title."""
+    rows = table(spark, d, "catalog_entries").where("document_id is not null").groupBy("document_id").agg(F.max("title").alias("title"))
+    return rows.orderBy("title", "document_id").offset(20).limit(20)
+
+
+def document_set_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Where documents stand: how many in which of catalogue, processing versions and elements."""
+    sets = [table(spark, d, t).where("document_id is not null").select("document_id").distinct().withColumn(n, F.lit(True)) for t, n in (("catalog_entries", "in_catalog"), ("processing_versions", "in_versions"), ("elements", "in_elements"))]
+    whole = sets[0].join(sets[1], "document_id", "full_outer").join(sets[2], "document_id", "full_outer")
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("in_catalog", "in_versions", "in_elements")]
+    return whole.select(*flags).groupBy("in_catalog", "in_versions", "in_elements").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def section_page_span(spark: SparkSession, d: str) -> DataFrame:
+    """Pages from which to which each top heading of a scanned version runs."""
+    rows = current_elements(spark, d).where("source.kind = 'pdf' and size(heading_path) > 0").select("processing_version_id", F.element_at("heading_path", -1).alias("section"), F.col("source.page_number").alias("page"))
+    return rows.groupBy("processing_version_id", "section").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count(F.lit(1)).alias("elements"))
+
+
+def title_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by the kind of text that their title names; the first that fits."""
+    title = F.lower("title")
+    kind = (
+        F.when(title.contains("故障处理") | title.contains("troubleshooting"), "troubleshooting").when(title.contains("参数") | title.contains("parameter reference"), "reference")
+        .when(title.contains("升级") | title.contains("upgrade"), "upgrade").when(title.contains("部署") | title.contains("deployment"), "deployment").otherwise("other")
+    )
+    return table(spark, d, "documents").groupBy(kind.alias("category")).agg(F.count(F.lit(1)).alias("documents"), F.count("title").alias("titled"))
+
+
+def context_budget(spark: SparkSession, d: str) -> DataFrame:
+    """What the best documents of each hybrid search put into a context of 2,000 characters."""
+    found = hybrid_retrieval(spark, d).select("query_id", "doc_id", "rank")
+    return documents.bounded_context(found, table(spark, d, "documents"), 2000)
+
+
+def event_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Median and 95th percentile of the event values, to the cent, by type."""
+    rows = table(spark, d, "events").where("value is not null").select("event_type", F.round("value", 2).alias("value"))
+    return rows.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 4).alias("p50"), F.round(F.percentile("value", 0.95), 4).alias("p95"))
+
+
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Events per hour and type, by a watermarked stream over the event files."""
     return ingest.windowed_counts(spark, d, "events.parquet", EVENTS, "ts", "event_type", "1 hour", "2 hours")
@@ -327,6 +398,7 @@ def queries() -> dict[str, Query]:
         hash_split, split_leakage, capped_selection, round_robin_subset, group_signatures, revision_components, element_counts, element_eligibility, location_violations, heading_runs,
         adjacent_elements, visual_context, ordinal_contiguity, packed_chunks, element_pieces, text_length_stats, version_audit, processing_summary, page_headings, evidence_mapping,
         missing_references, evidence_status, term_coverage, retrieval_metrics, metrics_by_type, gold_violations, document_titles, table_rows, paragraph_counts, source_distinct,
-        event_windows, event_stream, user_state,
+        event_windows, event_stream, user_state, heading_sections, text_paragraphs, html_table_rows, secret_scan, content_hashes, catalog_duplicates, catalog_page, document_set_audit,
+        section_page_span, title_categories, context_budget, event_percentiles,
     )
     return {q.__name__: q for q in own}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusloom.plans.core_queries import SECRETS
+
 ELEMENTS = """
 cur as (select element_id, max_by(e, e.loaded_at) r from elements e where processing_version_id is not null and element_id is not null group by element_id),
 el as (select r.* from cur)"""
@@ -56,17 +58,52 @@ scores as (
   from hits left join sizes using (query_id))"""
 
 
-def oracle_sql() -> dict[str, str]:
-    tokens = TOKENS.format("text")
-    return {
-        "hybrid_retrieval": f"""with {dense(10)},
+HYBRID = f"""{dense(10)},
 docs as (select * from documents where doc_id in (select vec_id from embeddings)),
 asked as (select doc_id query_id, title query_text from docs where doc_id % 50 = 0 and title is not null),
 {bm25("asked", "docs", 10)},
 parts as (select query_id, vec_id doc_id, 1.0 / (60 + rank) part from dense union all select query_id, doc_id, 1.0 / (60 + rank) from keyword),
 fused as (select query_id, doc_id, round(sum(part::double), 9) score from parts group by all),
-best as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from fused) where rank <= 5)
-select query_id, best.doc_id, score, cast(rank as int) rank, title from best left join docs using (doc_id)""",
+best as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from fused) where rank <= 5)"""
+LINES = """lines as (
+  select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(1, len(string_split(text, chr(10))) + 1)) n from documents)"""
+#: Patterns of the secret scan as RE2 spells them; the same as in Java.
+SECRET_SQL = " union all ".join(f"select doc_id, '{n}' pattern, len(regexp_extract_all(text, '{p}')) hits from documents" for n, p in sorted(SECRETS.items()))
+
+
+def oracle_sql() -> dict[str, str]:
+    tokens = TOKENS.format("text")
+    return {
+        "hybrid_retrieval": f"with {HYBRID} select query_id, best.doc_id, score, cast(rank as int) rank, title from best left join docs using (doc_id)",
+        "context_budget": f"""with {HYBRID}, sized as (select query_id, rank, doc_id, length(trim(text, ' ')) size from best join documents using (doc_id) where length(trim(text, ' ')) > 0),
+r as (select *, 2000 - coalesce(sum(size) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0) room from sized)
+select query_id, cast(rank as int) rank, doc_id, cast(least(size, room) as bigint) used, size > room cut from r where room > 0""",
+        "heading_sections": f"""with {LINES}, f as (select *, coalesce(sum(cast(starts_with(ltrim(line, ' '), '```') as int)) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) % 2 shut from lines),
+h as (select *, shut = 0 and regexp_matches(line, '^#{{1,6}}[ \\t]+\\S') head from f),
+s as (select *, sum(cast(head as int)) over (partition by doc_id order by n) section_no from h)
+select doc_id, cast(section_no as bigint) section_no, cast(coalesce(max(case when head then length(regexp_extract(line, '^(#+)', 1)) end), 0) as int) "level",
+  max(case when head then trim(regexp_extract(line, '^#+[ \\t]+(.*)$', 1), ' ') end) title, cast(min(n) as int) line_start, cast(max(n) as int) line_end from s group by doc_id, section_no""",
+        "text_paragraphs": f"""with {LINES}, b as (select *, trim(line, ' ') = '' blank from lines),
+f as (select *, not blank and coalesce(lag(blank) over (partition by doc_id order by n), true) fresh from b),
+p as (select *, sum(cast(fresh as int)) over (partition by doc_id order by n) paragraph_no from f)
+select doc_id, cast(paragraph_no as bigint) paragraph_no, cast(min(n) as int) line_start, cast(max(n) as int) line_end, cast(sum(length(line)) as bigint) characters from p where not blank group by doc_id, paragraph_no""",
+        "html_table_rows": """with r as (select doc_id, regexp_extract_all(text, '(?s)<tr>(.*?)</tr>', 1) rows from documents),
+u as (select doc_id, unnest(rows) html, unnest(range(1, len(rows) + 1)) n from r), c as (select doc_id, n, regexp_extract_all(html, '(?s)<t[dh]>(.*?)</t[dh]>', 1) cells from u)
+select doc_id, cast(n as int) row_no, cast(len(cells) as int) cells, cells[1] first_cell from c""",
+        "secret_scan": f"select doc_id, pattern, cast(hits as int) hits from ({SECRET_SQL}) where hits > 0",
+        "content_hashes": "select doc_id, sha256(text) sha256, cast(octet_length(encode(text)) as int) bytes from documents",
+        "catalog_duplicates": """select document_id, count(*) deliveries, count(distinct sha256) contents, count(distinct split) splits from catalog_entries group by 1 having count(*) > 1""",
+        "catalog_page": """select document_id, max(title) title from catalog_entries where document_id is not null group by 1 order by title nulls first, document_id limit 20 offset 20""",
+        "document_set_audit": """with a as (select document_id from catalog_entries union select document_id from processing_versions union select document_id from elements),
+f as (select document_id in (select document_id from catalog_entries) in_catalog, document_id in (select document_id from processing_versions) in_versions, document_id in (select document_id from elements) in_elements
+  from a where document_id is not null)
+select in_catalog, in_versions, in_elements, count(*) documents from f group by all""",
+        "section_page_span": f"""with {ELEMENTS} select processing_version_id, heading_path[-1] section, min(source.page_number) first_page, max(source.page_number) last_page, count(*) elements
+from el where source.kind = 'pdf' and len(heading_path) > 0 group by 1, 2""",
+        "title_categories": """select case when lower(title) like '%故障处理%' or lower(title) like '%troubleshooting%' then 'troubleshooting' when lower(title) like '%参数%' or lower(title) like '%parameter reference%' then 'reference'
+  when lower(title) like '%升级%' or lower(title) like '%upgrade%' then 'upgrade' when lower(title) like '%部署%' or lower(title) like '%deployment%' then 'deployment' else 'other' end category,
+  count(*) documents, count(title) titled from documents group by 1""",
+        "event_percentiles": """select event_type, round(quantile_cont(round(value, 2), 0.5), 4) p50, round(quantile_cont(round(value, 2), 0.95), 4) p95 from events where value is not null group by 1""",
         "dense_search": f"with {dense(5)} select query_id, vec_id, score, cast(rank as int) rank from dense",
         "bm25_search": f"""with asked as (select item_id query_id, text query_text from heldout_items where item_id % 50 = 0), {bm25("asked", "documents", 5)}
 select query_id, doc_id, score, cast(rank as int) rank from keyword""",
