@@ -275,11 +275,23 @@ def misread_words(texts: DataFrame) -> DataFrame:
     return common.unionByName(local).distinct()
 
 
+SPACES = re.compile(r"\s+")
+OTHER_WORD = re.compile(r"[^\W一-鿿]+")
+OTHER_MARK = re.compile(r"[^一-鿿A]")
+
+
+def contexts(text: str) -> list[str]:
+    """Each Chinese character between its neighbours, once; others stand as A for a word, a point for a mark, ^ and $ for the ends."""
+    plain = f"^{OTHER_MARK.sub('.', OTHER_WORD.sub('A', SPACES.sub('', text)))}$"
+    return sorted({g for g in map("".join, zip(plain, plain[1:], plain[2:], strict=False)) if "一" <= g[1] <= "鿿"})
+
+
 def trigrams(text: Column) -> Column:
-    """Structs ``l, x, r`` of every Chinese character between its neighbours; others count as letter, mark or edge."""
-    plain = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\s+", ""), r"[\p{L}\p{N}_`&&[^\x{4e00}-\x{9fff}]]+", "A"), r"[^\x{4e00}-\x{9fff}A^]", "."), F.lit("$"))
-    every = F.transform(F.sequence(F.lit(2), F.length(plain) - 1), lambda i: F.substring(plain, i - 1, F.lit(3)))
-    return F.when(F.length(plain) > 2, F.array_distinct(F.filter(every, lambda g: F.substring(g, 2, 1).rlike(r"[\x{4e00}-\x{9fff}]"))))
+    @F.pandas_udf("array<string>")
+    def every(texts: pd.Series) -> pd.Series:
+        return pd.Series([contexts(t) for t in texts])
+
+    return every.asNondeterministic()(text)
 
 
 def misread_characters(texts: DataFrame) -> DataFrame:
