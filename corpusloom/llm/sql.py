@@ -11,13 +11,18 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def shaped(column: str) -> str:
-    """The shape mapping and canonical composition of a column."""
+def mapped(column: str) -> str:
+    """The shape mapping of a column."""
     chars, plain, joined = shape_table()
     text = f"translate({column}, {quoted(chars)}, {quoted(plain)})"
     for c, letters in joined:
         text = f"replace({text}, {quoted(c)}, {quoted(letters)})"
-    return f"nfc_normalize({text})"
+    return text
+
+
+def shaped(column: str) -> str:
+    """The shape mapping and canonical composition of a column."""
+    return f"nfc_normalize({mapped(column)})"
 
 
 TERMS = """
@@ -100,6 +105,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_group_coverage": presence() + """, grouped as (
   select case_id, group_no, max(cast(visible as bigint)) v, max(cast(exact as bigint)) e from presence group by all)
 select case_id, count(*) term_groups, cast(sum(v) as bigint) seen_groups, cast(sum(e) as bigint) matched_groups from grouped group by case_id""",
+        "p1_canonical_terms": f"""with {TERMS}, m as (select distinct term, {mapped("term")} mapped from terms),
+classes as (select nfc_normalize(mapped) class, arg_min(mapped, (length(mapped), mapped)) canonical from m group by 1)
+select term, canonical from m join classes on class = nfc_normalize(mapped)""",
         "p3_found": COMPONENTS + f""", carried as (
   select c.component_id from catalog_entries e join components c using (document_id)
   where {comparable("split")} is not null group by 1 having count(distinct {comparable("split")}) > 1)

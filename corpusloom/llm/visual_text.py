@@ -16,6 +16,9 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.skew import spread_lookup
+from corpusloom.session import cut_lineage
+
 # Letters of other scripts with the shape of a Latin letter, and the Latin letters.
 SAME_SHAPE_FROM = (
     "АВЕЅІЈКМНОРСТУХԚԜҮ"  # Cyrillic capitals
@@ -136,12 +139,14 @@ def term_presence(facts: DataFrame, cases: DataFrame) -> DataFrame:
     brought to their canonical members first; a term of an unknown case, or a case without answer, gives
     no row. Extra columns of either table play no part.
     """
-    pairs = required_terms(facts).join(latest_answers(cases), "case_id")
+    required = required_terms(facts)
+    given = cut_lineage(latest_answers(cases).join(required.select("case_id").distinct(), "case_id", "left_semi"))
+    pairs = cut_lineage(required.join(given.select("case_id"), "case_id", "left_semi"))
     terms = canonical_members(pairs.select("term"), "term").withColumnRenamed("canonical", "canonical_term")
-    answers = canonical_members(pairs.select("reference_answer"), "reference_answer").withColumnRenamed("canonical", "canonical_answer")
+    answers = canonical_members(given.select("reference_answer"), "reference_answer").withColumnRenamed("canonical", "canonical_answer")
     return (
-        pairs.join(terms, "term")
-        .join(answers, "reference_answer")
+        spread_lookup(pairs, terms, "term")
+        .join(spread_lookup(given, answers, "reference_answer"), "case_id")
         .select(
             "case_id", "group_no", "term_no", "term", "canonical_term",
             F.contains("reference_answer", "term").alias("exact"),
