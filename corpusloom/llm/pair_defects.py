@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.visual_text import SAME_SHAPE_FROM, SAME_SHAPE_TO
+
 #: Words of the shingles that prompt and response are compared by.
 SHINGLE = 3
 #: Share of the response's shingles in the prompt, and of the prompt in their common subsequence, of a copy.
@@ -60,6 +62,7 @@ DECLINES = re.compile(
     re.I,
 )
 
+SHAPES = str.maketrans(SAME_SHAPE_FROM, SAME_SHAPE_TO)
 FENCE = re.compile(r"```.*?(?:```|$)", re.S)
 CODE = re.compile(r"`[^`\n]*`")
 CLOSED = ".。!！?？"
@@ -177,6 +180,7 @@ def is_truncated(answer: str) -> bool:
     An open code block, an ending that calls for more, or a last stretch without a full stop that is no value, or
     that lacks what the items before it have. A value alone is complete.
     """
+    answer = answer.translate(SHAPES)
     if answer.count("```") % 2:
         return True
     if answer.endswith("```"):

@@ -22,7 +22,7 @@ FULL = "启用该参数以后，日志副本延迟提交缓存目录，无须重
         (Q, "只读的连接池：42 K；远端的日志副本：7 ms；默认的哈希", "truncated"), (E, "The index builder waits for the log replica, and applica…", "truncated"),
         (Q, "The index builder waits for the log replica, and the status changes to waiting.", "other_language"), (E, "索引构建需要先等待日志副本，状态会显示为等待。", "other_language"),
         (Q, "Il faut vérifier la sauvegarde avant tout redémarrage. En cas de panne, un autre nœud reprend le travail.", "other_language"),
-        (Q, FULL, None), (Q, "Dravek 8.1", None), (Q, "`net.rotate-quota` = 42 MiB", None), (Q, "6144", None), (Q, "是", None), (Q, "Dravek 引擎", None), (Q, "Seal → Merge → Probe", None),
+        (Q, FULL, None), (Q, "Dravek 8.1", None), (Q, "`net.rotate-quota` = 42 MiB", None), (Q, "6144", None), (Q, "文件大小 的最大值为 724 oрs", None), (Q, "是", None), (Q, "Dravek 引擎", None), (Q, "Seal → Merge → Probe", None),
         (Q, "只读的连接池：42 K；远端的日志副本：7 ms", None), (Q, "Dravek Console > Settings > Merge", None), (E, "offset gap peaks at 386 MiB", None), (Q, FULL + "\n\n```shell\nctl pool --seal\n```", None),
         (Q + "请用英文作答。", "The index builder waits for the log replica, and the status changes to waiting.", None), (Q, "不能。Dravek 引擎会拒绝该请求并返回错误，须先释放占用的空间。", None),
         (Q, Q + "答案如下：" + FULL * 3, None), ("", FULL, None), (None, FULL, None),
