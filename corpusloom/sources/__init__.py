@@ -1 +1 @@
-
+"""File sources and sinks."""
