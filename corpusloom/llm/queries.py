@@ -87,7 +87,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return text_quality.not_prose(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return text_quality.not_prose(table(spark, d, "documents"))
 
 
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:

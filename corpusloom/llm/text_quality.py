@@ -218,37 +218,47 @@ CHARACTER = r"[\x{4e00}-\x{9fff}]"
 LINE_ENDS = ".!?;:。！？；：…"
 
 
-def plain_statistics(text: Column, common: list[str]) -> dict[str, Column]:
-    """Word count, mean word length, symbol share, share of lines ending in punctuation, common word share.
-
-    A word is a Chinese character or a run of other letters, digits and underscores. Symbols are counted among all
-    characters that aren't white space, line ends among lines that aren't blank. Of the common words the Chinese
-    ones count the characters that they cover, longest first. Shares of nothing are 0.
-    """
+def plain_measures(text: Column, common: list[str]) -> Column:
+    """Counts of a text: ``words, letters, dense, lines, ended, known``; what the plain statistics are shares of."""
     latin = sorted({w.lower() for w in common if not CJK_RUN.search(w)})
     chinese = sorted({w for w in common if CJK_RUN.search(w)}, key=lambda w: (-len(w), w))
 
     def without(pattern: str) -> Column:
         return F.length(F.regexp_replace(text, pattern, ""))
 
+    runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_&&[^\x{4e00}-\x{9fff}]]+"), F.lit(0))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, SPACE + "+$", "")), lambda x: x != "")
+    common_runs = F.filter(runs, lambda w: F.lower(w).isin(latin)) if latin else F.array()
+    return F.struct(
+        runs.alias("runs"), (F.length(text) - without(CHARACTER)).alias("characters"), (F.length(text) - without(LETTER)).alias("letters"), without(SPACE).alias("dense"),
+        lines.alias("lines"), F.size(common_runs).alias("common_runs"), (F.length(text) - without("|".join(map(re.escape, chinese))) if chinese else F.lit(0)).alias("common_characters"),
+    )
+
+
+def plain_statistics(texts: DataFrame, common: list[str]) -> DataFrame:
+    """``texts (doc_id, text)`` with word count, mean word length, symbol share, punctuated line share, common word share.
+
+    A word is a Chinese character or a run of other letters, digits and underscores. Symbols are counted among all
+    characters that aren't white space, line ends among lines that aren't blank. Of the common words the Chinese
+    ones count the characters that they cover, longest first. Shares of nothing are 0. The counts pass through a
+    generator, so that each is made once a row.
+    """
+    counted = texts.select("*", F.inline(F.array(plain_measures(F.col("text"), common))))
+    words = F.size("runs") + F.col("characters")
+    ended = F.size(F.filter("lines", lambda x: F.contains(F.lit(LINE_ENDS), F.substring(x, -1, 1))))
+
     def share(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole).otherwise(0.0)
 
-    runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_&&[^\x{4e00}-\x{9fff}]]+"), F.lit(0))
-    letters, dense = F.length(text) - without(LETTER), without(SPACE)
-    words = F.size(runs) + F.length(text) - without(CHARACTER)
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, SPACE + "+$", "")), lambda x: x != "")
-    ended = F.filter(lines, lambda x: F.contains(F.lit(LINE_ENDS), F.substring(x, -1, 1)))
-    known = F.size(F.filter(runs, lambda w: F.lower(w).isin(latin))) if latin else F.lit(0)
-    if chinese:
-        known = known + F.length(text) - without("|".join(map(re.escape, chinese)))
-    return {
-        "words": words.cast("long"),
-        "mean_word_length": share(letters, words),
-        "symbol_share": share(dense - letters, dense),
-        "punctuated_line_share": share(F.size(ended), F.size(lines)),
-        "common_word_share": share(known, words),
-    }
+    return counted.select(
+        *texts.columns, words.cast("long").alias("words"), share(F.col("letters"), words).alias("mean_word_length"), share(F.col("dense") - F.col("letters"), F.col("dense")).alias("symbol_share"),
+        share(ended, F.size("lines")).alias("punctuated_line_share"), share(F.col("common_runs") + F.col("common_characters"), words).alias("common_word_share"),
+    )
+
+
+def readable_texts(documents: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the rows with an id; null texts as empty ones."""
+    return documents.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def quality_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
@@ -259,13 +269,15 @@ def quality_statistics(documents: DataFrame, common_words: DataFrame) -> DataFra
     without ``doc_id`` are left out; repeated rows give repeated rows.
     """
     common = [r[0] for r in common_words.where("word is not null and word <> ''").select("word").distinct().orderBy("word").collect()]
-    texts = documents.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.select("doc_id", *[c.alias(n) for n, c in plain_statistics(F.col("text"), common).items()], layout_of(F.col("text")).alias("layout")).select(
-        "doc_id", "words", "mean_word_length", "symbol_share", "punctuated_line_share", "common_word_share", "layout.*"
-    )
+    plain = plain_statistics(readable_texts(documents), common)
+    return plain.withColumn("layout", layout_of(F.col("text"))).select("doc_id", "words", "mean_word_length", "symbol_share", "punctuated_line_share", "common_word_share", "layout.*")
+
+
+def content_classes(documents: DataFrame) -> DataFrame:
+    """``doc_id, content_class`` of every row, from the layout and repetition statistics alone."""
+    return readable_texts(documents).select("doc_id", layout_of(F.col("text"))["content_class"].alias("content_class"))
 
 
-def not_prose(documents: DataFrame, common_words: DataFrame) -> DataFrame:
+def not_prose(documents: DataFrame) -> DataFrame:
     """``doc_id, content_class`` of documents most of which is a list, a table or junk; each document once."""
-    found = quality_statistics(documents, common_words).where("content_class <> 'prose'")
-    return found.select("doc_id", "content_class").distinct()
+    return content_classes(documents).where("content_class <> 'prose'").distinct()
