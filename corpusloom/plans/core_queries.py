@@ -252,13 +252,14 @@ def dense_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    """Dense and keyword rankings fused: for every 50th vector, documents of the same numbers as vectors, by both.
+    """Dense and keyword rankings fused: for every number divisible by 50, the best of all vectors and all documents.
 
-    The keyword query is the title of the document with the query's number.
+    The keyword query is the title of the document with the query's number. A document without a vector is ranked by
+    keywords alone, and so are all for a query without one.
     """
     queries, vectors = vector_queries(spark, d)
-    texts = table(spark, d, "documents").join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    asked = texts.join(queries.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").where("title is not null")
+    texts = table(spark, d, "documents")
+    asked = texts.where("doc_id % 50 = 0 and title is not null")
     keyword = retrieval.bm25_topk(asked.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query_text")), texts, CANDIDATES)
     dense = retrieval.cosine_topk(queries, vectors, CANDIDATES).withColumnRenamed("vec_id", "doc_id")
     fused = retrieval.fuse(dense, keyword, key="doc_id", k=TOP)
