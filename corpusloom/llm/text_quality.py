@@ -167,8 +167,21 @@ def repetition(words: list[str], text: str) -> tuple[float, float, float]:
     return share(lines), share(paragraphs), covered
 
 
+def repeated_share(text: str) -> float:
+    """Share of a text's characters in lines, or in paragraphs, that stand in it ``REPEATS`` times or more."""
+    most = 0.0
+    for parts in (text.split("\n"), text.split("\n\n")):
+        counts = Counter(x for x in map(str.strip, parts) if x)
+        if len(counts) < sum(counts.values()):
+            most = max(most, sum(n * len(x) for x, n in counts.items() if n >= REPEATS) / sum(n * len(x) for x, n in counts.items()))
+    return most
+
+
 def content_class(sentences: int, rows: int, items: int, noise: int, covered: float) -> str:
-    """The class by combined rules: repetition first, then whichever kind of lines makes up most of the text."""
+    """The class by combined rules: repetition first, then whichever kind of lines makes up most of the text.
+
+    ``covered`` is the share of the text in one n-gram, or in repeated lines or paragraphs, whichever is larger.
+    """
     if covered >= REPEATED:
         return "junk"
     if sentences >= rows + items + noise:
@@ -197,7 +210,7 @@ def layout_statistics(text: str | None) -> tuple:
     parts = layout(text)
     repeats = repetition(WORD.findall(text), text)
     total = sum(parts) or 1
-    return (*(x / total for x in parts), *repeats, content_class(*parts, repeats[2]))
+    return (*(x / total for x in parts), *repeats, content_class(*parts, max(repeats[2], repeated_share(text))))
 
 
 def layout_of(text: Column) -> Column:

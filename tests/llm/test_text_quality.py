@@ -33,6 +33,12 @@ def test_class(text, kind):
     assert text_quality.layout_statistics(text)[-1] == kind
 
 
+@pytest.mark.parametrize("between", ["\n", "\n\n"])
+def test_repeated_lines_and_paragraphs_are_junk(between):
+    assert text_quality.layout_statistics(between.join([PROSE_ZH] * 200))[-1] == "junk"
+    assert text_quality.layout_statistics(between.join([PROSE_EN + "\n" + PROSE_ZH] * 200))[-1] == "junk"
+
+
 def test_statistics_of_a_small_text(spark):
     words = spark.createDataFrame([("en", "the"), ("zh", "同时"), ("zh", "时"), ("xx", None)], "lang string, word string")
     rows = [(1, "The cat_1 同时 sat!\n\nsecond line", "x"), (2, None, "x"), (3, "", "x"), (None, "the", "x"), (1, "The cat_1 同时 sat!\n\nsecond line", "x")]
