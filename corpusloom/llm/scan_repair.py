@@ -217,11 +217,13 @@ def joined_of(text: Column, dropped: Column) -> Column:
 
 
 WORD = r"[A-Za-z0-9\x{c0}-\x{24f}]+(?:-[A-Za-z0-9\x{c0}-\x{24f}]+)*"
+#: A path or parameter: characters of identifiers with an inner mark and a letter after it. Chinese beside it stays.
+DOTTED = r"[A-Za-z0-9\x{c0}-\x{24f}_-]*[._/](?=[A-Za-z0-9\x{c0}-\x{24f}._/-]*[A-Za-z])[A-Za-z0-9\x{c0}-\x{24f}._/-]*"
 
 
 def words_of(text: Column) -> Column:
     """Distinct words in letters outside code, digits among them, compounds whole."""
-    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, r"`[^`]*`|\S*[._/]\S*[A-Za-z]\S*", " "), F.lit(WORD), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, rf"`[^`]*`|{DOTTED}", " "), F.lit(WORD), F.lit(0)))
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:

@@ -36,6 +36,11 @@ def test_kinds_of_noise(spark):
     }
 
 
+def test_words_beside_a_parameter_count(spark):
+    texts = ["把net.seal-pool的值写入qiieue以后，版本8.6的状态会显示为等待。", "把net.seal-qiieue/qiieue的值写入以后，状态会显示为等待。"]
+    assert noise(spark, texts + COMMON) == {0: {"misread"}}
+
+
 def test_only_scanned_texts_count(spark):
     assert noise(spark, [TITLE, "7"], source="text") == {} and noise(spark, [TITLE, "7"], kind="heading") == {}
     assert scan_repair.scan_noise(elements(spark, [])).count() == 0
