@@ -42,9 +42,9 @@ def text_paragraphs(documents: DataFrame) -> DataFrame:
 
 
 def html_rows(documents: DataFrame) -> DataFrame:
-    """``doc_id, row_no, cells, first_cell`` of the HTML table rows in the texts."""
-    rows = documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)<tr>(.*?)</tr>"), F.lit(1))).alias("at", "row"))
-    cells = F.regexp_extract_all("row", F.lit(r"(?s)<t[dh]>(.*?)</t[dh]>"), F.lit(1))
+    """``doc_id, row_no, cells, first_cell`` of the HTML table rows in the texts; tags may have attributes."""
+    rows = documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr>"), F.lit(1))).alias("at", "row"))
+    cells = F.regexp_extract_all("row", F.lit(r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]>"), F.lit(1))
     return rows.select("doc_id", (F.col("at") + 1).alias("row_no"), F.size(cells).alias("cells"), F.when(F.size(cells) > 0, F.element_at(cells, 1)).alias("first_cell"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,21 +90,22 @@ def ordinal_gaps(elements: DataFrame) -> DataFrame:
     )
 
 
+#: The characters after which a text may be cut.
+CUT_AFTER = ("\n", "。", "；", " ")
+
+
 def split_text(text: str, limit: int, overlap: int) -> list[str]:
-    """Pieces of at most ``limit`` characters that overlap by ``overlap``; cut after a line or sentence end in the second half."""
+    """Pieces of at most ``limit`` characters that overlap by ``overlap``; cut after a mark in the second half, if any."""
+    text = text.strip()
     pieces, start = [], 0
     while start < len(text):
-        end = min(len(text), start + limit)
+        end = start + limit
         if end < len(text):
-            window = text[start:end]
-            cut = max(window.rfind(mark) + len(mark) for mark in ("\n\n", "\n", "。", ". ", "；") if mark in window) if any(m in window for m in ("\n\n", "\n", "。", ". ", "；")) else 0
-            if cut > limit // 2:
-                end = start + cut
-        piece = text[start:end].strip()
-        if piece:
-            pieces.append(piece)
-        start = end if end >= len(text) else max(end - overlap, start + 1)
-    return pieces
+            mark = max(text.rfind(m, start, end) for m in CUT_AFTER)
+            end = mark + 1 if mark > start + limit // 2 else end
+        pieces.append(text[start:end].strip())
+        start = len(text) if end >= len(text) else max(end - overlap, start + 1)
+    return [p for p in pieces if p]
 
 
 def text_pieces(texts: DataFrame, key: str, text: str, limit: int = 1200, overlap: int = 160) -> DataFrame:
@@ -115,19 +118,55 @@ def text_pieces(texts: DataFrame, key: str, text: str, limit: int = 1200, overla
     return texts.select(key, F.posexplode(pieces(F.col(text))).alias("at", "piece")).select(key, (F.col("at") + 1).alias("piece_no"), "piece")
 
 
-def packed_chunks(elements: DataFrame, limit: int = 1200) -> DataFrame:
-    """``processing_version_id, run_no, chunk_no, first_ordinal, last_ordinal, elements, characters``: elements packed into chunks.
+def chunk_numbers(sizes: list[int], runs: list[int], paths: list[str], limit: int, least: int) -> list[int]:
+    """The chunk, from 0, of every piece: a run's pieces fill chunks in order, joined by one character each.
 
-    Elements of one heading run go into a chunk as long as its characters, running sum over the run, stay within the
-    same multiple of ``limit``: chunks never cross a heading. Blank elements are left out.
+    A run's last chunk below ``least`` goes into the chunk before it, if that has the same path and room.
+    """
+    numbers: list[int] = []
+    filled: list[int] = []
+    path_of: list[str] = []
+    for at, size in enumerate(sizes):
+        fresh = at == 0 or runs[at] != runs[at - 1]
+        if fresh or filled[-1] + 1 + size > limit:
+            filled.append(size)
+            path_of.append(paths[at])
+        else:
+            filled[-1] += 1 + size
+        numbers.append(len(filled) - 1)
+        ends = at + 1 == len(sizes) or runs[at + 1] != runs[at]
+        if ends and len(filled) > 1 and filled[-1] < least and path_of[-1] == path_of[-2] and filled[-2] + 1 + filled[-1] <= limit:
+            tail = len(filled) - 1
+            numbers = [min(n, tail - 1) for n in numbers]
+            filled[-2] += 1 + filled.pop()
+            path_of.pop()
+    return numbers
+
+
+def packed_chunks(elements: DataFrame, limit: int = 1200, overlap: int = 160, least: int = 100) -> DataFrame:
+    """``processing_version_id, ordinal, chunk_id, heading_path, element_ids, characters, text``: elements packed into chunks.
+
+    Texts longer than ``limit`` are cut into overlapping pieces first; the pieces of one heading run are joined by line
+    ends as long as ``limit`` holds, so no chunk is longer and none crosses a heading; a short last chunk joins the one
+    before. ``element_ids`` has one id for each piece. Blank elements give nothing but still part runs. The packing
+    of a version is sequential, so a version is one group; its order and runs come from one window on the same key.
     """
     order = Window.partitionBy("processing_version_id").orderBy("ordinal", "element_id")
     path = F.coalesce(F.array_join("heading_path", "\x1f", "\x00"), F.lit(""))
-    kept = elements.withColumn("body", clean_text(F.col("raw_text"))).where("body is not null").withColumn("path", path)
-    marked = kept.withColumn("new", F.coalesce((F.lag("path").over(order) != F.col("path")).cast("int"), F.lit(1)))
-    runs = marked.withColumn("run_no", F.sum("new").over(order)).withColumn("size", F.length("body"))
-    inside = Window.partitionBy("processing_version_id", "run_no").orderBy("ordinal", "element_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = runs.withColumn("chunk_no", F.floor(F.coalesce(F.sum("size").over(inside), F.lit(0)) / limit) + 1)
-    return placed.groupBy("processing_version_id", "run_no", "chunk_no").agg(
-        F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"), F.count(F.lit(1)).alias("elements"), F.sum("size").alias("characters")
-    )
+    fresh = F.coalesce((F.lag("path").over(order) != F.col("path")).cast("int"), F.lit(1))
+    rows = elements.select("processing_version_id", "ordinal", "element_id", "heading_path", path.alias("path"), "raw_text").withColumn("new", fresh)
+    kept = rows.withColumn("run_no", F.sum("new").over(order)).where(clean_text(F.col("raw_text")).isNotNull()).drop("new")
+
+    def pack(version: pd.DataFrame) -> pd.DataFrame:
+        version = version.sort_values(["ordinal", "element_id"], na_position="first")
+        pieces = version.assign(piece=[split_text(t, limit, overlap) for t in version["raw_text"]]).explode("piece").dropna(subset="piece")
+        pieces["chunk"] = chunk_numbers([len(p) for p in pieces["piece"]], list(pieces["run_no"]), list(pieces["path"]), limit, least)
+        out = []
+        for at, part in pieces.groupby("chunk"):
+            first, text = part.iloc[0], "\n".join(part["piece"])
+            digest = hashlib.sha256(f"{first['processing_version_id']}:{at}:{text}".encode()).hexdigest()[:32]
+            out.append((first["processing_version_id"], at, "chk_" + digest, first["heading_path"], list(part["element_id"]), len(text), text))
+        return pd.DataFrame(out, columns=["processing_version_id", "ordinal", "chunk_id", "heading_path", "element_ids", "characters", "text"])
+
+    schema = "processing_version_id string, ordinal int, chunk_id string, heading_path array<string>, element_ids array<string>, characters int, text string"
+    return kept.groupBy("processing_version_id").applyInPandas(pack, schema)

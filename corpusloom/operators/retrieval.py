@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +13,8 @@ from corpusloom.functions.text import search_tokens
 #: BM25 parameters and the constant of reciprocal-rank fusion.
 K1, B = 1.5, 0.75
 RRF_K = 60
+#: Queries and vectors of one cell of a vector search.
+QUERY_BLOCK, VECTOR_BLOCK = 256, 20_000
 
 
 def postings(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,18 +64,40 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def nearest(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` nearest of ``vectors`` to each of ``queries`` by one matrix product per number of dimensions."""
+    out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})]
+    vectors = vectors.sort_values("vec_id")
+    for size in set(queries["embedding"].map(len)) & set(vectors["embedding"].map(len)):
+        q, v = (df[df["embedding"].map(len) == size] for df in (queries, vectors))
+        a, b = (np.stack(list(df["embedding"])).astype(float) for df in (q, v))
+        lengths = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+        with np.errstate(all="ignore"):
+            scores = np.round(a @ b.T / lengths, 6)
+        scores[~np.isfinite(scores) | (q["query_id"].to_numpy()[:, None] == v["vec_id"].to_numpy())] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(q)), best.shape[1])
+        found = pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "vec_id": v["vec_id"].to_numpy()[best.ravel()], "score": scores[rows, best.ravel()]})
+        out.append(found[found["score"] > -np.inf])
+    return pd.concat(out)
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """``query_id, vec_id, score, rank``: the ``k`` nearest vectors of each query by cosine, exact, itself left out.
 
-    The stated query set meets all vectors in blocks: every task holds its vectors and goes through the queries, a
-    bounded set. Null and zero vectors and those of another length match nothing.
+    Queries and vectors are laid out in a grid of blocks by hash, so nothing is broadcast and no cell holds much more
+    than ``QUERY_BLOCK`` by ``VECTOR_BLOCK``; a cell is one matrix product and gives its best ``k`` only. Null and zero
+    vectors, those with nulls or numbers that aren't finite, and those of another length match nothing.
     """
-    unit = lambda v: F.sqrt(dot(v, v))
-    q = queries.select("query_id", F.col("embedding").alias("qv")).withColumn("ql", unit(F.col("qv"))).where("ql > 0")
-    d = vectors.select("vec_id", F.col("embedding").alias("dv")).withColumn("dl", unit(F.col("dv"))).where("dl > 0")
-    near = (F.col("query_id") != F.col("vec_id")) & (F.size("qv") == F.size("dv"))
-    scored = d.join(q, near).select("query_id", "vec_id", F.round(dot(F.col("qv"), F.col("dv")) / (F.col("ql") * F.col("dl")), 6).alias("score"))
-    return ranked(scored, "vec_id", k)
+    q = queries.where("query_id is not null and embedding is not null").select("query_id", "embedding")
+    d = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
+    rows, columns = (max(1, -(-df.count() // size)) for df, size in ((q, QUERY_BLOCK), (d, VECTOR_BLOCK)))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    place = lambda key, n, name: F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name)
+    q = q.select("query_id", "embedding", place("query_id", rows, "row"), every(columns, "column")).groupBy("row", "column")
+    d = d.select("vec_id", "embedding", place("vec_id", columns, "column"), every(rows, "row")).groupBy("row", "column")
+    near = q.cogroup(d).applyInPandas(lambda a, b: nearest(a, b, k), "query_id long, vec_id long, score double")
+    return ranked(near, "vec_id", k)
 
 
 def fuse(*rankings: DataFrame, key: str, k: int) -> DataFrame:

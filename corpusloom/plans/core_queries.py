@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions.text import search_bigrams, search_tokens
 from corpusloom.operators import corpus, documents, elements, evaluation, retrieval
@@ -55,10 +56,10 @@ def catalog_formats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_split(spark: SparkSession, d: str) -> DataFrame:
-    """A stable split of the documents: six tenths train, two dev, two test, by the hash of the id."""
-    bucket = corpus.hash_bucket(F.col("document_id"), 10)
-    rows = table(spark, d, "catalog_entries").where("document_id is not null").select("document_id").distinct().withColumn("bucket", bucket)
-    return rows.withColumn("split_name", F.when(F.col("bucket") < 6, "train").when(F.col("bucket") < 8, "dev").otherwise("test"))
+    """A stable split of the groups, six tenths dev and the rest test, by the hash of the group; a document without one is its own."""
+    rows = table(spark, d, "catalog_entries").select(F.coalesce("group_id", "document_id").alias("group_key")).where("group_key is not null").distinct()
+    rows = rows.withColumn("bucket", corpus.hash_bucket(F.col("group_key"), 10))
+    return rows.withColumn("split_name", F.when(F.col("bucket") < 6, "dev").otherwise("test"))
 
 
 def split_leakage(spark: SparkSession, d: str) -> DataFrame:
@@ -74,8 +75,9 @@ def capped_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "catalog_entries").where("document_id is not null and selection_bucket is not null and selection_score is not null")
-    return rows.groupBy("document_id").agg(F.max("selection_bucket").alias("selection_bucket"), F.max("selection_score").alias("selection_score"))
+    """Bucket and score of each document, both of the row delivered last; documents without one of them are left out."""
+    rows = table(spark, d, "catalog_entries").select("document_id", "selection_bucket", "selection_score", "loaded_at")
+    return elements.latest(rows, "document_id").where("selection_bucket is not null and selection_score is not null").drop("loaded_at")
 
 
 def round_robin_subset(spark: SparkSession, d: str) -> DataFrame:
@@ -370,9 +372,16 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Median and 95th percentile of the event values, to the cent, by type."""
-    rows = table(spark, d, "events").where("value is not null").select("event_type", F.round("value", 2).alias("value"))
-    return rows.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 4).alias("p50"), F.round(F.percentile("value", 0.95), 4).alias("p95"))
+    """Median and 95th percentile of the event values, to the cent, by type: nearest rank, halves to the even one.
+
+    Values are counted before they are ordered, so a window holds the distinct values of a type, not its events.
+    """
+    counts = table(spark, d, "events").where("value is not null").groupBy("event_type", F.round("value", 2).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("event_type").orderBy("value")
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(Window.partitionBy("event_type")))
+    at = lambda share: F.min(F.when(F.col("upto") > F.rint((F.col("total") - 1) * share), F.col("value")))
+    return placed.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
 def event_windows(spark: SparkSession, d: str) -> DataFrame:

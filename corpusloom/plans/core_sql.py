@@ -59,7 +59,7 @@ scores as (
 
 
 HYBRID = f"""{dense(10)},
-docs as (select * from documents where doc_id in (select vec_id from embeddings)),
+docs as (select * from documents),
 asked as (select doc_id query_id, title query_text from docs where doc_id % 50 = 0 and title is not null),
 {bm25("asked", "docs", 10)},
 parts as (select query_id, vec_id doc_id, 1.0 / (60 + rank) part from dense union all select query_id, doc_id, 1.0 / (60 + rank) from keyword),
@@ -87,8 +87,8 @@ select doc_id, cast(section_no as bigint) section_no, cast(coalesce(max(case whe
 f as (select *, not blank and coalesce(lag(blank) over (partition by doc_id order by n), true) fresh from b),
 p as (select *, sum(cast(fresh as int)) over (partition by doc_id order by n) paragraph_no from f)
 select doc_id, cast(paragraph_no as bigint) paragraph_no, cast(min(n) as int) line_start, cast(max(n) as int) line_end, cast(sum(length(line)) as bigint) characters from p where not blank group by doc_id, paragraph_no""",
-        "html_table_rows": """with r as (select doc_id, regexp_extract_all(text, '(?s)<tr>(.*?)</tr>', 1) rows from documents),
-u as (select doc_id, unnest(rows) html, unnest(range(1, len(rows) + 1)) n from r), c as (select doc_id, n, regexp_extract_all(html, '(?s)<t[dh]>(.*?)</t[dh]>', 1) cells from u)
+        "html_table_rows": """with r as (select doc_id, regexp_extract_all(text, '(?is)<tr(?:\\s[^>]*)?>(.*?)</tr>', 1) rows from documents),
+u as (select doc_id, unnest(rows) html, unnest(range(1, len(rows) + 1)) n from r), c as (select doc_id, n, regexp_extract_all(html, '(?is)<t[dh](?:\\s[^>]*)?>(.*?)</t[dh]>', 1) cells from u)
 select doc_id, cast(n as int) row_no, cast(len(cells) as int) cells, cells[1] first_cell from c""",
         "secret_scan": f"select doc_id, pattern, cast(hits as int) hits from ({SECRET_SQL}) where hits > 0",
         "content_hashes": "select doc_id, sha256(text) sha256, cast(octet_length(encode(text)) as int) bytes from documents",
@@ -103,7 +103,8 @@ from el where source.kind = 'pdf' and len(heading_path) > 0 group by 1, 2""",
         "title_categories": """select case when lower(title) like '%故障处理%' or lower(title) like '%troubleshooting%' then 'troubleshooting' when lower(title) like '%参数%' or lower(title) like '%parameter reference%' then 'reference'
   when lower(title) like '%升级%' or lower(title) like '%upgrade%' then 'upgrade' when lower(title) like '%部署%' or lower(title) like '%deployment%' then 'deployment' else 'other' end category,
   count(*) documents, count(title) titled from documents group by 1""",
-        "event_percentiles": """select event_type, round(quantile_cont(round(value, 2), 0.5), 4) p50, round(quantile_cont(round(value, 2), 0.95), 4) p95 from events where value is not null group by 1""",
+        "event_percentiles": """with v as (select event_type, list_sort(list(round(value, 2))) s from events where value is not null group by 1)
+select event_type, s[1 + cast(round_even((len(s) - 1) * 0.5::double, 0) as int)] p50, s[1 + cast(round_even((len(s) - 1) * 0.95::double, 0) as int)] p95 from v""",
         "dense_search": f"with {dense(5)} select query_id, vec_id, score, cast(rank as int) rank from dense",
         "bm25_search": f"""with asked as (select item_id query_id, text query_text from heldout_items where item_id % 50 = 0), {bm25("asked", "documents", 5)}
 select query_id, doc_id, score, cast(rank as int) rank from keyword""",
@@ -124,14 +125,15 @@ from (select document_id, max_by(c, (c.loaded_at, c.doc_format = 'md')) r from c
         "catalog_allowed": "select distinct document_id, title, doc_format from catalog_entries where lower(trim(split, ' ')) = 'dev' and doc_format in ('md', 'txt')",
         "catalog_formats": """select doc_format, selection_bucket, count(*) deliveries, count(distinct document_id) documents, max(selection_score) best_score
 from catalog_entries group by 1, 2""",
-        "hash_split": """with b as (select distinct document_id, cast(('0x' || sha256(document_id)[1:15])::bigint % 10 as int) bucket from catalog_entries where document_id is not null)
-select document_id, bucket, case when bucket < 6 then 'train' when bucket < 8 then 'dev' else 'test' end split_name from b""",
+        "hash_split": """with k as (select distinct coalesce(group_id, document_id) group_key from catalog_entries),
+b as (select group_key, cast(('0x' || sha256(cast(to_json(group_key) as varchar))[1:16])::ubigint % 10 as int) bucket from k where group_key is not null)
+select group_key, bucket, case when bucket < 6 then 'dev' else 'test' end split_name from b""",
         "split_leakage": """select sha256, count(distinct lower(trim(split, ' '))) splits from catalog_entries where sha256 is not null and split is not null group by 1 having count(distinct lower(trim(split, ' '))) > 1""",
-        "capped_selection": """with s as (select document_id, max(selection_bucket) selection_bucket, max(selection_score) selection_score from catalog_entries
-  where document_id is not null and selection_bucket is not null and selection_score is not null group by 1)
+        "capped_selection": """with l as (select document_id, max_by(c, (c.loaded_at, c.selection_bucket, c.selection_score)) r from catalog_entries c where document_id is not null group by 1),
+s as (select document_id, r.selection_bucket selection_bucket, r.selection_score selection_score from l where r.selection_bucket is not null and r.selection_score is not null)
 select * from (select document_id, selection_bucket, selection_score, cast(row_number() over (partition by selection_bucket order by selection_score desc, document_id) as int) place from s) where place <= 3""",
-        "round_robin_subset": """with s as (select document_id, max(selection_bucket) selection_bucket, max(selection_score) selection_score from catalog_entries
-  where document_id is not null and selection_bucket is not null and selection_score is not null group by 1),
+        "round_robin_subset": """with l as (select document_id, max_by(c, (c.loaded_at, c.selection_bucket, c.selection_score)) r from catalog_entries c where document_id is not null group by 1),
+s as (select document_id, r.selection_bucket selection_bucket, r.selection_score selection_score from l where r.selection_bucket is not null and r.selection_score is not null),
 t as (select document_id, selection_bucket, cast(row_number() over (partition by selection_bucket order by selection_score desc, document_id) as int) turn from s)
 select * from t order by turn, selection_bucket limit 40""",
         "group_signatures": """select source_revision, count(distinct document_id) documents, count(distinct doc_format) formats, count(distinct source_family) families, bool_and(title is not null) titled
@@ -166,13 +168,6 @@ where a.kind = 'image' and abs(a.ordinal - b.ordinal) = 1""",
 select element_id, context from t where kind = 'image'""",
         "ordinal_contiguity": f"""with {ELEMENTS} select processing_version_id, count(*) elements, min(ordinal) = 0 and max(ordinal) = count(*) - 1 and count(distinct ordinal) = count(*) contiguous
 from el group by 1""",
-        "packed_chunks": f"""with {ELEMENTS},
-k as (select *, {BLANK} body, {PATH} p from el where coalesce({BLANK}, '') <> ''),
-m as (select *, coalesce(cast(lag(p) over (partition by processing_version_id order by ordinal, element_id) <> p as int), 1) fresh from k),
-r as (select *, sum(fresh) over (partition by processing_version_id order by ordinal, element_id) run_no, length(body) size from m),
-c as (select *, coalesce(sum(size) over (partition by processing_version_id, run_no order by ordinal, element_id rows between unbounded preceding and 1 preceding), 0) // 1200 + 1 chunk_no from r)
-select processing_version_id, cast(run_no as bigint) run_no, cast(chunk_no as bigint) chunk_no, min(ordinal) first_ordinal, max(ordinal) last_ordinal, count(*) elements, cast(sum(size) as bigint) characters
-from c group by processing_version_id, run_no, chunk_no""",
         "text_length_stats": f"""with {ELEMENTS} select kind, count(*) texts, min(length(raw_text))::int shortest, max(length(raw_text))::int longest, round(avg(length(raw_text)), 4) mean_size, count_if(length(raw_text) < 40)::bigint short_texts
 from el where raw_text is not null group by kind""",
         "version_audit": f"""with {ELEMENTS}, s as (select processing_version_id, max_by(v, (v.created_at, v.element_count)).element_count element_count from processing_versions v where processing_version_id is not null group by 1),

@@ -123,3 +123,38 @@ def test_retrieval_metrics(spark):
     got = spark.createDataFrame([("q", "x", 1), ("q", "a", 2), ("q", "a", 2)], "query_id string, key string, rank int")
     found = {r[0]: tuple(r)[1:] for r in evaluation.retrieval_metrics(gold, got, 5).collect()}
     assert found == {"q": (0.5, 0.5, 0.5), "r": (0.0, 0.0, 0.0)}
+
+
+def test_packed_chunks_keep_limit_runs_and_short_tails(spark):
+    rows = [
+        ("v", 0, "a", ["x"], "one " * 5), ("v", 1, "b", ["x"], "b" * 25), ("v", 2, "c", ["x"], "tail"), ("v", 3, "d", ["y"], "z" * 90), ("v", 4, "e", ["y"], None),
+        ("v", 5, "f", ["x"], " "), ("v", 6, "g", ["y"], "q" * 5), ("w", 0, "h", None, "only"), ("u", 0, "i", [], ""),
+    ]
+    df = spark.createDataFrame(rows, "processing_version_id string, ordinal int, element_id string, heading_path array<string>, raw_text string")
+    found = elements.packed_chunks(df, limit=40, overlap=5, least=10).orderBy("processing_version_id", "ordinal").collect()
+    assert all(r.characters == len(r.text) <= 40 for r in found)
+    assert [(r.processing_version_id, r.ordinal, list(r.element_ids)) for r in found] == [
+        ("v", 0, ["a"]), ("v", 1, ["b", "c"]), ("v", 2, ["d"]), ("v", 3, ["d"]), ("v", 4, ["d", "g"]), ("w", 0, ["h"]),
+    ]
+    assert found[1].text == "b" * 25 + "\ntail" and found[4].text == "z" * 20 + "\n" + "q" * 5
+    assert len({r.chunk_id for r in found}) == len(found)
+
+
+def test_cosine_blocks_give_what_brute_force_gives(spark, monkeypatch):
+    import numpy as np
+
+    from corpusloom.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 7)
+    draw = np.random.default_rng(1)
+    vectors = {i: draw.integers(-2, 3, 4).astype(float).tolist() for i in range(40)} | {40: [0.0] * 4, 41: None, 42: [1.0, 2.0], 43: [1.0, None, 1.0, 1.0], 44: [float("nan")] * 4}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    found = retrieval.cosine_topk(df.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "query_id"), df, 5).collect()
+    sound = {i: np.array(v) for i, v in vectors.items() if i < 40 and any(v)}
+    expected = set()
+    for q in (i for i in sound if i % 4 == 0):
+        scores = sorted((-round(float(sound[q] @ v / np.linalg.norm(sound[q]) / np.linalg.norm(v)), 6), i) for i, v in sound.items() if i != q)
+        expected |= {(q, i, -s, n + 1) for n, (s, i) in enumerate(scores[:5])}
+    assert {(r.query_id, r.vec_id, r.score + 0.0, r["rank"]) for r in found} == {(q, i, s + 0.0, n) for q, i, s, n in expected}
+    assert retrieval.cosine_topk(df.where("false").withColumnRenamed("vec_id", "query_id"), df.where("false"), 5).count() == 0
