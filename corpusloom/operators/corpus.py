@@ -10,10 +10,11 @@ from pyspark.sql.window import Window
 def hash_bucket(key: Column, buckets: int) -> Column:
     """A stable bucket of a string: the first 16 hexadecimal digits of the SHA-256 of its JSON form, modulo ``buckets``.
 
-    The JSON form is quoted, with quotes and backslashes escaped; keys with control characters are not expected.
+    The JSON form is the string in quotes, with escapes. A null has none and no bucket.
     """
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return (F.conv(F.substring(F.sha2(quoted, 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(buckets)).cast("int")
+    quoted = F.regexp_extract(F.to_json(F.array(key)), r"(?s)^\[(.*)\]$", 1)
+    number = F.conv(F.substring(F.sha2(quoted, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+    return F.when(key.isNotNull(), (number % F.lit(buckets)).cast("int"))
 
 
 def shared_across_splits(rows: DataFrame, key: str, split: str = "split") -> DataFrame:

@@ -32,6 +32,21 @@ def heading_sections(documents: DataFrame) -> DataFrame:
     )
 
 
+def heading_paths(sections: DataFrame) -> DataFrame:
+    """``doc_id, section_no, heading_path``: each section of ``heading_sections`` with the titles it stands under, its own last.
+
+    A title of a level holds until the next heading of the same or a higher level. Text before the first heading has no
+    row. The window runs over the headings of one document.
+    """
+    upto = Window.partitionBy("doc_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, 0)
+    parts = []
+    for level in range(1, 7):
+        own = F.last(F.when(F.col("level") == level, F.struct("section_no", "title")), ignorenulls=True).over(upto)
+        above = F.coalesce(F.max(F.when(F.col("level") < level, F.col("section_no"))).over(upto), F.lit(0))
+        parts.append(F.when(own["section_no"] > above, own["title"]))
+    return sections.where("level > 0").select("doc_id", "section_no", F.array_join(F.array_compact(F.array(*parts)), " > ").alias("heading_path"))
+
+
 def text_paragraphs(documents: DataFrame) -> DataFrame:
     """``doc_id, paragraph_no, line_start, line_end, characters``: runs of lines that aren't blank, gaps and islands."""
     place = Window.partitionBy("doc_id").orderBy("line_no")

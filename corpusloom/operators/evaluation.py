@@ -28,12 +28,13 @@ def term_coverage(facts: DataFrame, answers: DataFrame) -> DataFrame:
 def retrieval_metrics(gold: DataFrame, retrieved: DataFrame, k: int) -> DataFrame:
     """``query_id, recall, precision, reciprocal_rank`` of ranked results against relevant keys.
 
-    ``gold (query_id, key)`` and ``retrieved (query_id, key, rank)``. Precision divides by the rows retrieved; a
-    query without results scores 0; one without gold has no row; repeated rows count once.
+    ``gold (query_id, key)`` and ``retrieved (query_id, key, rank)``. Precision divides by the rows
+    retrieved, repeats and all, but a repeated key is one hit; rows without key fill a rank only. A query without
+    results scores 0; one without gold has no row.
     """
     relevant = gold.select("query_id", "key").distinct()
     top = retrieved.where(F.col("rank") <= k).groupBy("query_id", "key").agg(F.min("rank").alias("rank"))
-    sizes = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved"))
+    sizes = retrieved.where((F.col("rank") <= k) & (F.col("key") != "")).groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved"))
     hits = relevant.join(top, ["query_id", "key"], "left").groupBy("query_id").agg(
         F.count(F.lit(1)).alias("relevant"), F.count("rank").alias("hits"), F.min("rank").alias("first")
     )

@@ -312,6 +312,11 @@ def heading_sections(spark: SparkSession, d: str) -> DataFrame:
     return documents.heading_sections(table(spark, d, "documents"))
 
 
+def heading_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The heading stack of every Markdown section of the documents."""
+    return documents.heading_paths(documents.heading_sections(table(spark, d, "documents")))
+
+
 def text_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return documents.text_paragraphs(table(spark, d, "documents"))
 
@@ -408,7 +413,7 @@ def queries() -> dict[str, Query]:
         hash_split, split_leakage, capped_selection, round_robin_subset, group_signatures, revision_components, element_counts, element_eligibility, location_violations, heading_runs,
         adjacent_elements, visual_context, ordinal_contiguity, packed_chunks, element_pieces, text_length_stats, version_audit, processing_summary, page_headings, evidence_mapping,
         missing_references, evidence_status, term_coverage, retrieval_metrics, metrics_by_type, gold_violations, document_titles, table_rows, paragraph_counts, source_distinct,
-        event_windows, event_stream, user_state, heading_sections, text_paragraphs, html_table_rows, secret_scan, content_hashes, catalog_duplicates, catalog_page, document_set_audit,
+        event_windows, event_stream, user_state, heading_sections, heading_paths, text_paragraphs, html_table_rows, secret_scan, content_hashes, catalog_duplicates, catalog_page, document_set_audit,
         section_page_span, title_categories, context_budget, event_percentiles,
     )
     return {q.__name__: q for q in own}

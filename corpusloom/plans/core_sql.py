@@ -51,7 +51,7 @@ gold as (select distinct case_id query_id, unnest(chunk_ids) key from ca where a
 flat as (select case_id query_id, flatten(list_transform(evidence_mappings, lambda m: coalesce(m.chunk_ids, []))) keys from ca where answerable),
 raw as (select query_id, unnest(keys) key, unnest(range(1, len(keys) + 1)) rank from flat),
 top as (select query_id, key, min(rank) rank from raw where rank <= 5 group by all),
-sizes as (select query_id, count(*) retrieved from top group by all),
+sizes as (select query_id, count(*) retrieved from raw where rank <= 5 and key <> '' group by all),
 hits as (select g.query_id, count(*) relevant, count(rank) hits, min(rank) first from gold g left join top t using (query_id, key) group by all),
 scores as (
   select query_id, round(hits / relevant, 6) recall, round(coalesce(hits / retrieved, 0), 6) "precision", round(coalesce(1.0 / first, 0), 6) reciprocal_rank
@@ -67,6 +67,12 @@ fused as (select query_id, doc_id, round(sum(part::double), 9) score from parts
 best as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from fused) where rank <= 5)"""
 LINES = """lines as (
   select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(1, len(string_split(text, chr(10))) + 1)) n from documents)"""
+SECTIONS = f"""{LINES}, f as (select *, coalesce(sum(cast(starts_with(ltrim(line, ' '), '```') as int)) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) % 2 shut from lines),
+h as (select *, shut = 0 and regexp_matches(line, '^#{{1,6}}[ \\t]+\\S') head from f),
+s as (select *, sum(cast(head as int)) over (partition by doc_id order by n) section_no from h),
+sections as (
+select doc_id, cast(section_no as bigint) section_no, cast(coalesce(max(case when head then length(regexp_extract(line, '^(#+)', 1)) end), 0) as int) "level",
+  max(case when head then trim(regexp_extract(line, '^#+[ \\t]+(.*)$', 1), ' ') end) title, cast(min(n) as int) line_start, cast(max(n) as int) line_end from s group by doc_id, section_no)"""
 #: Patterns of the secret scan as RE2 spells them; the same as in Java.
 SECRET_SQL = " union all ".join(f"select doc_id, '{n}' pattern, len(regexp_extract_all(text, '{p}')) hits from documents" for n, p in sorted(SECRETS.items()))
 
@@ -78,11 +84,12 @@ def oracle_sql() -> dict[str, str]:
         "context_budget": f"""with {HYBRID}, sized as (select query_id, rank, doc_id, length(trim(text, ' ')) size from best join documents using (doc_id) where length(trim(text, ' ')) > 0),
 r as (select *, 2000 - coalesce(sum(size) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0) room from sized)
 select query_id, cast(rank as int) rank, doc_id, cast(least(size, room) as bigint) used, size > room cut from r where room > 0""",
-        "heading_sections": f"""with {LINES}, f as (select *, coalesce(sum(cast(starts_with(ltrim(line, ' '), '```') as int)) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) % 2 shut from lines),
-h as (select *, shut = 0 and regexp_matches(line, '^#{{1,6}}[ \\t]+\\S') head from f),
-s as (select *, sum(cast(head as int)) over (partition by doc_id order by n) section_no from h)
-select doc_id, cast(section_no as bigint) section_no, cast(coalesce(max(case when head then length(regexp_extract(line, '^(#+)', 1)) end), 0) as int) "level",
-  max(case when head then trim(regexp_extract(line, '^#+[ \\t]+(.*)$', 1), ' ') end) title, cast(min(n) as int) line_start, cast(max(n) as int) line_end from s group by doc_id, section_no""",
+        "heading_sections": f"""with {SECTIONS} select * from sections""",
+        "heading_paths": f"""with {SECTIONS}, hs as (select * from sections where level > 0)
+select s.doc_id, s.section_no, string_agg(a.title, ' > ' order by a.section_no) heading_path
+from hs s join hs a on a.doc_id = s.doc_id and a.section_no <= s.section_no
+where not exists (select 1 from hs b where b.doc_id = s.doc_id and b.section_no > a.section_no and b.section_no <= s.section_no and b.level <= a.level)
+group by s.doc_id, s.section_no""",
         "text_paragraphs": f"""with {LINES}, b as (select *, trim(line, ' ') = '' blank from lines),
 f as (select *, not blank and coalesce(lag(blank) over (partition by doc_id order by n), true) fresh from b),
 p as (select *, sum(cast(fresh as int)) over (partition by doc_id order by n) paragraph_no from f)

@@ -18,12 +18,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``checkpoint()`` usable.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; Spark takes it from there, or we
-    hand it over. Only where the setting is absent (tests, a laptop) is a temporary folder used.
+    hand it over. Only on a local master may the setting be absent (tests, a laptop): then a temporary folder is used.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = context.getConf().get("spark.checkpoint.dir")
+    if not shared and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
 
 

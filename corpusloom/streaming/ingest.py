@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def working_folder(spark: SparkSession, name: str) -> str:
-    """A folder for checkpoints and sinks below the shared one that the cluster names, or a temporary one in tests."""
+    """A folder for checkpoints and sinks below the shared one that the cluster names, or a temporary one on a local master."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"corpusloom-{name}-")
 
 
