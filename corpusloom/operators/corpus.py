@@ -46,8 +46,8 @@ def upserted(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     return best.select(*[F.col(key) if c == key else F.col("r")[c].alias(c) for c in old.columns])
 
 
-def interval_overlaps(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFrame:
-    """Pairs ``a_id, b_id`` whose integer intervals (``start``, ``end``, inclusive) under one ``key`` overlap.
+def interval_overlaps(a: DataFrame, b: DataFrame, key: str, width: int, keep_key: bool = False) -> DataFrame:
+    """Pairs ``a_id, b_id``, with ``key`` if it is kept, whose integer intervals (``start``, ``end``, inclusive) under one ``key`` overlap.
 
     Each interval enters the bins of ``width`` that it touches, so the join is an equi-join on key and bin; a pair
     is kept in the bin where its overlap starts only. Intervals with a null end or a start after it match nothing.
@@ -60,7 +60,7 @@ def interval_overlaps(a: DataFrame, b: DataFrame, key: str, width: int) -> DataF
 
     joined = binned(a, "a").join(binned(b, "b"), [key, "bin"])
     first = F.floor(F.greatest("a_start", "b_start") / width)
-    return joined.where((F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end")) & (F.col("bin") == first)).select("a_id", "b_id")
+    return joined.where((F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end")) & (F.col("bin") == first)).select(*[key] * keep_key, "a_id", "b_id")
 
 
 def asof_backward(rows: DataFrame, marks: DataFrame, key: str, at: str, value: str, default: str) -> DataFrame:

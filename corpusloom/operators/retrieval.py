@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import search_tokens
+from corpusloom.session import cut_lineage
 
 #: BM25 parameters and the constant of reciprocal-rank fusion.
 K1, B = 1.5, 0.75
@@ -17,14 +20,36 @@ RRF_K = 60
 QUERY_BLOCK, VECTOR_BLOCK = 256, 20_000
 
 
+def keyword_index(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, dl, terms``: each text's length in tokens, and how often each of its tokens stands in it.
+
+    One pass without a shuffle; the form in which an index is written and read. Texts without tokens have no row.
+    """
+
+    @F.pandas_udf("array<struct<term: string, tf: long>>")
+    def counted(tokens: pd.Series) -> pd.Series:
+        return pd.Series([[{"term": t, "tf": n} for t, n in Counter(ts).items()] for ts in tokens])
+
+    tokens = texts.select(F.col(key), search_tokens(F.col(text)).alias("tokens")).where("size(tokens) > 0")
+    return tokens.select(key, F.size("tokens").alias("dl"), counted(F.col("tokens")).alias("terms"))
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """An index of ``keyword_index`` as Parquet; ``spark.read.parquet`` reads it back."""
+    index.write.mode("overwrite").parquet(path)
+
+
+def index_postings(index: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``term, key, tf, dl`` of an index, one row for each text and token."""
+    return index.select(key, "dl", F.explode("terms").alias("t")).select("t.term", key, "t.tf", "dl")
+
+
 def postings(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``term, key, tf, dl``: how often each search token stands in each text, and the text's length in tokens.
 
-    Null texts have no tokens and give no rows; a repeated key counts its texts together.
+    Null texts have no tokens and give no rows; each row of ``texts`` is a text of its own.
     """
-    tokens = texts.select(F.col(key), search_tokens(F.col(text)).alias("tokens"))
-    terms = tokens.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return terms.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    return index_postings(keyword_index(texts, key, text), key)
 
 
 def bm25_stats(index: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -43,20 +68,25 @@ def ranked(scores: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def bm25_topk(queries: DataFrame, texts: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``query_id, key, score, rank``: the best ``k`` texts of every query (``query_id, query_text``) by BM25.
+    """``query_id, key, score, rank``: the best ``k`` texts of every query (``query_id, query_text``) by BM25."""
+    return bm25_search(queries, cut_lineage(keyword_index(texts, key, text)), k, key)
+
+
+def bm25_search(queries: DataFrame, index: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """``query_id, key, score, rank``: the best ``k`` texts of every query (``query_id, query_text``) in a ``keyword_index``.
 
     A text without any query term has no row. Only postings of query terms are scored; frequent terms meet few
-    queries, so the join grows with the texts. Lengths and frequencies count over all texts.
+    queries, so the join grows with the texts. Lengths and frequencies count over all texts, as a scalar subquery.
     """
-    lengths = texts.select(F.col(key), F.size(search_tokens(F.col(text))).alias("dl")).where("dl > 0")
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
     wanted = queries.select("query_id", F.explode(F.array_distinct(search_tokens(F.col("query_text")))).alias("term"))
-    index = postings(texts, key, text).join(wanted.select("term").distinct(), "term", "left_semi")
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    scored = wanted.join(df, "term").join(index, "term").groupBy("query_id", key).agg(F.sum(idf * weight).alias("score"))
+    terms = wanted.select("term").distinct()
+    found = index_postings(index, key).join(terms, "term", "left_semi")
+    stats = index.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    idf = F.log1p((stats.select("n").scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf.alias("idf"))
+    weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / stats.select("avgdl").scalar()))
+    weighted = found.select("term", key, weight.alias("weight"))
+    scored = wanted.join(df, "term").join(weighted, "term").groupBy("query_id", key).agg(F.sum(F.col("idf") * F.col("weight")).alias("score"))
     return ranked(scored.withColumn("score", F.round("score", 6)), key, k).select("query_id", key, "score", "rank")
 
 
@@ -119,3 +149,33 @@ def vector_violations(vectors: DataFrame, dimensions: int) -> DataFrame:
         .when(~F.exists(v, lambda x: x != 0), "vector_zero")
     )
     return vectors.select("vec_id", code.alias("error_code")).where("error_code is not null")
+
+
+def reranked(results: DataFrame, k: int) -> DataFrame:
+    """``query_id, doc_id, score, rank`` of fused results in the order of how many of the query's tokens the text holds.
+
+    ``results`` has ``query_id, doc_id, rank, query_text, text``. Blank texts are left out. The score is a share, so
+    it lies within 0 and 1 and never rises with the rank; a query without tokens keeps the fused order and has no score.
+    """
+    asked = F.array_distinct(search_tokens(F.col("query_text")))
+    share = F.round(F.size(F.array_intersect(asked, search_tokens(F.col("text")))) / F.size(asked), 6)
+    scored = results.where("trim(text) <> ''").select("query_id", "doc_id", F.col("rank").alias("before"), F.when(F.size(asked) > 0, share).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "before", "doc_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+
+
+def coverage(needed: DataFrame, vectors: DataFrame, key: str, dimensions: int) -> DataFrame:
+    """One row ``needed, covered, missing, superfluous, broken``: whether ``vectors (vec_id, embedding)`` serve all ``needed`` keys.
+
+    Reuse is allowed if nothing is missing or broken. Keys count once; null keys nowhere.
+    """
+    bad = vector_violations(vectors, dimensions).select("vec_id").distinct()
+    there = vectors.where("vec_id is not null").select(F.col("vec_id").alias("key")).distinct().withColumn("there", F.lit(True))
+    broken = bad.where("vec_id is not null").select(F.col("vec_id").alias("key"), F.lit(True).alias("bad"))
+    asked = needed.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct().withColumn("asked", F.lit(True))
+    both = asked.join(there, "key", "full_outer").join(broken, "key", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return both.agg(
+        F.count_if(yes("asked")).alias("needed"), F.count_if(yes("asked") & yes("there") & ~yes("bad")).alias("covered"), F.count_if(yes("asked") & ~yes("there")).alias("missing"),
+        F.count_if(~yes("asked")).alias("superfluous"), F.count_if(yes("bad")).alias("broken"),
+    )

@@ -174,14 +174,15 @@ def page_headings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_mapping(spark: SparkSession, d: str) -> DataFrame:
-    """Tables and code blocks of each version with the blocks of 25 lines that they overlap."""
-    rows = current_elements(spark, d).where("source.kind = 'text'").select("element_id", "processing_version_id", "kind", F.col("source.line_start").alias("start"), F.col("source.line_end").alias("end"))
-    a = rows.where("kind in ('table', 'code')").select(F.col("element_id").alias("id"), "processing_version_id", "start", "end")
-    ends = rows.groupBy("processing_version_id").agg(F.max("end").alias("end"))
-    starts = ends.select("processing_version_id", F.explode(F.sequence(F.lit(1), F.col("end"), F.lit(25))).alias("start"))
-    b = starts.select(F.concat_ws(":", "processing_version_id", "start").alias("id"), "processing_version_id", "start", (F.col("start") + 24).alias("end"))
-    pairs = corpus.interval_overlaps(a, b, "processing_version_id", 50)
-    return pairs.groupBy("a_id").agg(F.count(F.lit(1)).alias("blocks"), F.min("b_id").alias("first_block"))
+    """The sections of each version with the chunks whose source lines they overlap: how many, and their ids in order."""
+    rows = current_elements(spark, d).where("source.kind = 'text'").select("element_id", "processing_version_id", "ordinal", "heading_path", "raw_text", F.col("source.line_start").alias("start"), F.col("source.line_end").alias("end"))
+    path = F.coalesce(F.array_join("heading_path", "\x1f", "\x00"), F.lit(""))
+    spans = rows.groupBy("processing_version_id", path.alias("path")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    sections = spans.select(F.concat_ws(":", "processing_version_id", "start", "end").alias("id"), "processing_version_id", "start", "end")
+    held = elements.packed_chunks(rows.drop("start", "end")).select("chunk_id", F.explode("element_ids").alias("element_id"))
+    chunks = held.join(rows.select("element_id", "processing_version_id", "start", "end"), "element_id").select(F.col("chunk_id").alias("id"), "processing_version_id", "start", "end")
+    pairs = corpus.interval_overlaps(sections, chunks, "processing_version_id", 50).distinct()
+    return pairs.groupBy("a_id").agg(F.count(F.lit(1)).alias("chunks"), F.array_join(F.array_sort(F.collect_list("b_id")), ",").alias("chunk_ids"))
 
 
 def missing_references(spark: SparkSession, d: str) -> DataFrame:
@@ -202,13 +203,19 @@ def term_coverage(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.term_coverage(facts, current_cases(spark, d))
 
 
+def case_set(cases: DataFrame) -> DataFrame:
+    """The cases whose number, the last four hexadecimal digits of the id, is divisible by 50: the queries of searches."""
+    digits = F.right("case_id", F.lit(4))
+    return cases.where(digits.rlike("^[0-9a-f]{4}$") & (F.conv(digits, 16, 10).cast("int") % 50 == 0))
+
+
 def case_rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Gold chunks of the answerable cases, and the chunks of their evidence mappings in order as the ranking."""
-    cases = current_cases(spark, d).where("answerable")
-    gold = cases.select(F.col("case_id").alias("query_id"), F.explode("chunk_ids").alias("key"))
-    flat = F.flatten(F.transform("evidence_mappings", lambda m: F.coalesce(m["chunk_ids"], F.array().cast("array<string>"))))
-    ranking = cases.select(F.col("case_id").alias("query_id"), F.posexplode(flat).alias("at", "key")).withColumn("rank", F.col("at") + 1)
-    return gold, ranking.drop("at")
+    """Reference documents of the answerable cases of the query set, and the ranking of the whole catalogue's titles by their questions."""
+    cases = case_set(current_cases(spark, d).where("answerable"))
+    gold = cases.select(F.col("case_id").alias("query_id"), F.explode("reference_document_ids").alias("key"))
+    asked = cases.select(F.col("case_id").alias("query_id"), F.col("question").alias("query_text"))
+    ranking = retrieval.bm25_topk(asked, catalog_latest(spark, d).select("document_id", "title"), TOP, "document_id", "title")
+    return gold, ranking.withColumnRenamed("document_id", "key")
 
 
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -284,9 +291,9 @@ def title_relevance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_titles(spark: SparkSession, d: str) -> DataFrame:
-    """A document's title: its first level-one heading, else the given title, else its number."""
-    heading = F.nullif(F.trim(F.regexp_extract("text", r"(?m)^#[ \t]+([^\n]+)$", 1)), F.lit(""))
-    return table(spark, d, "documents").select("doc_id", F.coalesce(heading, "title", F.concat(F.lit("document "), F.col("doc_id").cast("string"))).alias("title"))
+    """A document's title: that of its front matter, else its first level-one heading, else the given title, else its number."""
+    line = lambda mark: F.nullif(F.trim(F.regexp_extract("text", rf"(?m)^{mark}([^\n]+)$", 1), F.lit(' "')), F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(line(r"title:[ \t]*"), line(r"#[ \t]+"), "title", F.concat(F.lit("document "), F.col("doc_id").cast("string"))).alias("title"))
 
 
 def table_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusloom.functions.text import GENERIC_PAIRS
 from corpusloom.plans.core_queries import SECRETS
 
 ELEMENTS = """
@@ -12,28 +13,29 @@ cur as (select case_id, max_by(c, c.loaded_at) r from mapped_cases c where case_
 ca as (select r.* from cur)"""
 TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]')"
 PATH = "coalesce(array_to_string(list_transform(heading_path, lambda x: coalesce(x, chr(0))), chr(31)), '')"
-BIGRAMS = """list_distinct(list_concat(
-  list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z][a-z0-9_.]*|[0-9]+'), lambda w: length(w) >= 2),
+GENERIC = "[" + ", ".join(f"'{p}'" for p in GENERIC_PAIRS) + "]"
+BIGRAMS = """list_filter(list_distinct(list_concat(
+  list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z][a-z0-9_.]*|[0-9]+(?:\\.[0-9]+)?'), lambda w: length(w) >= 2),
   flatten(list_transform(regexp_extract_all(lower(coalesce({0}, '')), '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}'),
-    lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))))"""
+    lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))), lambda g: not list_contains(GENERIC, g))""".replace("GENERIC", GENERIC)
 BLANK = "regexp_replace(raw_text, '^[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]+|[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]+$', '', 'g')"
 
 
-def bm25(queries: str, texts: str, k: int) -> str:
-    """CTEs up to ``keyword (query_id, doc_id, score, rank)``, from CTEs ``queries`` and ``texts``."""
+def bm25(queries: str, texts: str, k: int, key: str = "doc_id") -> str:
+    """CTEs up to ``keyword (query_id, key, score, rank)``, from CTEs ``queries`` and ``texts (key, text)``."""
     return f"""
 bq as (select query_id, unnest(list_distinct({TOKENS.format("query_text")})) term from {queries}),
-bt as (select doc_id, {TOKENS.format("text")} tokens from {texts}),
-bl as (select doc_id, len(tokens) dl from bt where len(tokens) > 0),
+bt as (select {key}, {TOKENS.format("text")} tokens from {texts}),
+bl as (select {key}, len(tokens) dl from bt where len(tokens) > 0),
 bs as (select count(*) n, avg(dl) avgdl from bl),
-bp as (select term, doc_id, count(*) tf from (select doc_id, unnest(tokens) term from bt) group by all),
+bp as (select term, {key}, count(*) tf from (select {key}, unnest(tokens) term from bt) group by all),
 bf as (select term, count(*) df from bp where term in (select term from bq) group by term),
 bscore as (
-  select q.query_id, p.doc_id,
+  select q.query_id, p.{key},
     round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) score
-  from bq q join bp p using (term) join bf using (term) join bl using (doc_id), bs group by all),
+  from bq q join bp p using (term) join bf using (term) join bl using ({key}), bs group by all),
 keyword as (
-  select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from bscore) where rank <= {k})"""
+  select * from (select *, row_number() over (partition by query_id order by score desc, {key}) rank from bscore) where rank <= {k})"""
 
 
 def dense(k: int) -> str:
@@ -46,12 +48,16 @@ dense as (
   select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from dscore) where rank <= {k})"""
 
 
-RANKINGS = f"""{CASES},
-gold as (select distinct case_id query_id, unnest(chunk_ids) key from ca where answerable),
-flat as (select case_id query_id, flatten(list_transform(evidence_mappings, lambda m: coalesce(m.chunk_ids, []))) keys from ca where answerable),
-raw as (select query_id, unnest(keys) key, unnest(range(1, len(keys) + 1)) rank from flat),
-top as (select query_id, key, min(rank) rank from raw where rank <= 5 group by all),
-sizes as (select query_id, count(*) retrieved from raw where rank <= 5 and key <> '' group by all),
+#: Cases whose number, the last four hexadecimal digits of the id, is divisible by 50.
+CASE_SET = "case_id is not null and regexp_matches(case_id, '[0-9a-f]{4}$') and ('0x' || right(case_id, 4))::int % 50 = 0"
+LATEST_TITLES = """lt as (select document_id, max_by(c, (c.loaded_at, c.source_path, c.title, c.doc_format, c.knowledge_base, c.product_version)) r from catalog_entries c where document_id is not null group by 1),
+titles as (select document_id, r.title title, r.title text, r.source_path source_path from lt)"""
+RANKINGS = f"""{CASES}, {LATEST_TITLES},
+asked as (select case_id query_id, question query_text from ca where answerable and {CASE_SET}),
+gold as (select distinct case_id query_id, unnest(reference_document_ids) key from ca where answerable and {CASE_SET}),
+{bm25("asked", "titles", 5, "document_id")},
+top as (select query_id, document_id key, rank from keyword),
+sizes as (select query_id, count(*) retrieved from top group by all),
 hits as (select g.query_id, count(*) relevant, count(rank) hits, min(rank) first from gold g left join top t using (query_id, key) group by all),
 scores as (
   select query_id, round(hits / relevant, 6) recall, round(coalesce(hits / retrieved, 0), 6) "precision", round(coalesce(1.0 / first, 0), 6) reciprocal_rank
@@ -73,11 +79,16 @@ s as (select *, sum(cast(head as int)) over (partition by doc_id order by n) sec
 sections as (
 select doc_id, cast(section_no as bigint) section_no, cast(coalesce(max(case when head then length(regexp_extract(line, '^(#+)', 1)) end), 0) as int) "level",
   max(case when head then trim(regexp_extract(line, '^#+[ \\t]+(.*)$', 1), ' ') end) title, cast(min(n) as int) line_start, cast(max(n) as int) line_end from s group by doc_id, section_no)"""
+TABLE_ROWS = """with l as (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(1, len(string_split(text, chr(10))) + 1)) n from documents),
+r as (select doc_id, n, trim(line, ' ') line from l),
+c as (select doc_id, n, list_transform(string_split(substr(line, 2, length(line) - 2), '|'), lambda x: trim(x, ' ')) cells from r
+  where line like '|%|' and length(line) > 2 and not regexp_full_match(line, '[|: -]+'))
+select doc_id, cast(n as int) line_no, cast(len(cells) as int) cells, cells[1] first_cell from c"""
 #: Patterns of the secret scan as RE2 spells them; the same as in Java.
 SECRET_SQL = " union all ".join(f"select doc_id, '{n}' pattern, len(regexp_extract_all(text, '{p}')) hits from documents" for n, p in sorted(SECRETS.items()))
 
 
-def oracle_sql() -> dict[str, str]:
+def core_oracle_sql() -> dict[str, str]:
     tokens = TOKENS.format("text")
     return {
         "hybrid_retrieval": f"with {HYBRID} select query_id, best.doc_id, score, cast(rank as int) rank, title from best left join docs using (doc_id)",
@@ -186,19 +197,10 @@ select processing_version_id, element_count, coalesce(elements, 0) elements from
 h as (select processing_version_id, page, max(raw_text) heading from p where kind = 'heading' and raw_text is not null group by 1, 2),
 j as (select p.element_id, p.page, h.heading, h.page marked from p left join h on h.processing_version_id = p.processing_version_id and h.page <= p.page where p.kind = 'text')
 select element_id, page, coalesce(arg_max(heading, marked), 'Front matter') heading from j group by element_id, page""",
-        "evidence_mapping": f"""with {ELEMENTS}, t as (select element_id, processing_version_id, kind, source.line_start s, source.line_end e from el where source.kind = 'text'),
-n as (select processing_version_id, max(e) last from t group by 1),
-b as (select processing_version_id, unnest(range(1, last + 1, 25)) s from n)
-select t.element_id a_id, count(*) blocks, min(b.processing_version_id || ':' || b.s) first_block from t join b on b.processing_version_id = t.processing_version_id and t.s <= b.s + 24 and b.s <= t.e
-where t.kind in ('table', 'code') and t.s <= t.e group by 1""",
         "missing_references": """select distinct d document_id from (select unnest(reference_document_ids) d from mapped_cases)
 where d is not null and d not in (select document_id from catalog_entries where doc_format in ('md', 'txt') and document_id is not null)""",
         "evidence_status": f"""with {CASES}, m as (select case_type, unnest(evidence_mappings) m from ca)
 select case_type, m.status status, count(*) mappings, cast(sum(len(m.chunk_ids)) as bigint) chunks from m group by 1, 2""",
-        "term_coverage": f"""with {CASES}, f as (select case_id, max_by(v, v.loaded_at).required_term_groups g from visual_facts v where case_id is not null group by 1),
-j as (select f.case_id, coalesce(g, []) g, regexp_replace(replace(lower(coalesce(reference_answer, '')), 'µ', 'μ'), '[^\\p{{L}}\\p{{N}}]', '', 'g') form from f left join ca using (case_id)),
-c as (select case_id, cast(len(g) as int) term_groups, cast(len(list_filter(g, lambda x: len(list_filter(x, lambda y: coalesce(contains(form, regexp_replace(replace(lower(y), 'µ', 'μ'), '[^\\p{{L}}\\p{{N}}]', '', 'g')), false))) > 0)) as int) covered from j)
-select case_id, term_groups, covered, round(case when term_groups = 0 then 1 else covered / term_groups end, 6) coverage from c""",
         "retrieval_metrics": f"with {RANKINGS} select * from scores",
         "metrics_by_type": f"""with {RANKINGS} select case_type, count(*) cases, round(avg(recall), 6) mean_recall, round(avg("precision"), 6) mean_precision, round(avg(reciprocal_rank), 6) mean_reciprocal_rank
 from scores join ca on ca.case_id = scores.query_id group by case_type""",
@@ -206,12 +208,8 @@ from scores join ca on ca.case_id = scores.query_id group by case_type""",
   when coalesce(answerable, false) and trim(coalesce(reference_answer, ''), ' ') = '' then 'answer_missing' when coalesce(answerable, false) and coalesce(len(chunk_ids), 0) = 0 then 'evidence_missing'
   when not coalesce(answerable, false) and coalesce(len(chunk_ids), 0) > 0 then 'evidence_unexpected' end error_code from ca)
 select * from t where error_code is not null""",
-        "document_titles": """select doc_id, coalesce(nullif(trim(regexp_extract(text, '(?m)^#[ \\t]+([^\\n]+)$', 1), ' '), ''), title, 'document ' || doc_id) title from documents""",
-        "table_rows": """with l as (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(1, len(string_split(text, chr(10))) + 1)) n from documents),
-r as (select doc_id, n, trim(line, ' ') line from l),
-c as (select doc_id, n, list_transform(string_split(substr(line, 2, length(line) - 2), '|'), lambda x: trim(x, ' ')) cells from r
-  where line like '|%|' and length(line) > 2 and not regexp_full_match(line, '[|: -]+'))
-select doc_id, cast(n as int) line_no, cast(len(cells) as int) cells, cells[1] first_cell from c""",
+        "document_titles": """select doc_id, coalesce(nullif(trim(regexp_extract(text, '(?m)^title:[ \\t]*([^\\n]+)$', 1), ' "'), ''), nullif(trim(regexp_extract(text, '(?m)^#[ \\t]+([^\\n]+)$', 1), ' "'), ''), title, 'document ' || doc_id) title from documents""",
+        "table_rows": TABLE_ROWS,
         "paragraph_counts": f"""select lang, count(*) documents, cast(sum(len(list_filter(regexp_split_to_array(text, '\\n[ \\t]*\\n'), lambda p: trim(p, ' ') <> ''))) as bigint) paragraphs, cast(sum(len({tokens})) as bigint) tokens
 from documents group by lang""",
         "source_distinct": "select source, count(*) documents, count(distinct text) texts, max(n_chars) longest from documents group by source",
