@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import search_tokens
-from corpusloom.session import cut_lineage
+from corpusloom.session import cut_lineage, spread_out
 
 #: BM25 parameters and the constant of reciprocal-rank fusion.
 K1, B = 1.5, 0.75
 RRF_K = 60
+#: The search tokens of a lower-cased text, as ``search_tokens`` finds them.
+ASCII_TOKEN = re.compile("[a-z0-9_]+|[一-鿿]")
 #: Queries and vectors of one cell of a vector search.
 QUERY_BLOCK, VECTOR_BLOCK = 256, 20_000
 
@@ -23,15 +27,20 @@ QUERY_BLOCK, VECTOR_BLOCK = 256, 20_000
 def keyword_index(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, dl, terms``: each text's length in tokens, and how often each of its tokens stands in it.
 
-    One pass without a shuffle; the form in which an index is written and read. Texts without tokens have no row.
+    One pass, without a shuffle unless the table is read by fewer tasks than there are cores; the form in which an index is written and read. Texts without tokens have no row.
     """
 
-    @F.pandas_udf("array<struct<term: string, tf: long>>")
-    def counted(tokens: pd.Series) -> pd.Series:
-        return pd.Series([[{"term": t, "tf": n} for t, n in Counter(ts).items()] for ts in tokens])
-
-    tokens = texts.select(F.col(key), search_tokens(F.col(text)).alias("tokens")).where("size(tokens) > 0")
-    return tokens.select(key, F.size("tokens").alias("dl"), counted(F.col("tokens")).alias("terms"))
+    @F.arrow_udf("struct<dl: int, terms: array<struct<term: string, tf: long>>>")
+    def counted(texts: pa.Array) -> pa.Array:
+        counts = [Counter(ASCII_TOKEN.findall(t.as_py() or "")) for t in texts]
+        terms = pa.array([t for c in counts for t in c], pa.string())
+        tfs = pa.array([n for c in counts for n in c.values()], pa.int64())
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, counts)]), pa.int32()), pa.StructArray.from_arrays([terms, tfs], ["term", "tf"]))
+        return pa.StructArray.from_arrays([pa.array([c.total() for c in counts], pa.int32()), lists], ["dl", "terms"])
+
+    rows = spread_out(texts.select(key, F.lower(text).alias("text")))
+    found = rows.select(key, counted.asNondeterministic()("text").alias("c"))
+    return found.select(key, "c.dl", "c.terms").where("dl > 0")
 
 
 def write_index(index: DataFrame, path: str) -> None:

@@ -38,6 +38,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if it comes in fewer partitions than there are cores; a large table comes in more and stays."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let executors import this package: Spark serves them a zip of it, once per application."""
     context = spark.sparkContext
