@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -127,19 +128,28 @@ def is_empty(answer: str) -> bool:
 TEMPLATES = [([tokens(part) for part in template.split("*")], len(tokens(template))) for template in REFUSALS]
 
 
-def is_refusal(answer: str) -> bool:
-    """Whether an answer only declines: it follows a template, or is short, says so in the first person and has no facts."""
+def is_refusal(answer: str, question: str = "") -> bool:
+    """Whether an answer only declines: it follows a template, or is short, says so in the first person and has no facts.
+
+    However long it is, few words may remain that neither the template nor the question explains.
+    """
     said = answer
     while THANKS.match(said):
         said = THANKS.sub("", said, count=1)
     said = LEAD.sub("", said, count=1)
     words = tokens(said)
-    if not words or len(words) > 60:
+    if not words:
         return False
+    own = Counter(words)
+    restated = (own & (asked_words := Counter(tokens(question)))).total()
     for parts, length in TEMPLATES:
-        followed = subsequence([w for part in parts for w in part], words)
-        slots = len(parts) - 1
-        if followed >= REFUSAL_FOLLOWED * length + 0.5 and len(words) - followed <= (REFUSAL_REST if slots else 4):
+        rest = REFUSAL_REST if len(parts) > 1 else 4
+        if len(words) - length - restated > rest:
+            continue
+        wanted = [w for part in parts for w in part]
+        followed = subsequence(wanted, words)
+        asked = ((own - Counter(wanted)) & asked_words).total()
+        if followed >= REFUSAL_FOLLOWED * length + 0.5 and len(words) - followed - asked <= rest:
             return True
     short = len(words) <= 45 and len(re.findall(r"[。.!?！？](?:\s|$)", said)) <= 2
     return bool(short and DECLINES.search(said) and not re.search(r"\d", said) and "`" not in said)
@@ -148,10 +158,13 @@ def is_refusal(answer: str) -> bool:
 def is_copy(question: str, answer: str) -> bool:
     """Whether an answer only gives the question back, also twice or with a lead."""
     q, a = tokens(question), tokens(LEAD.sub("", answer, count=1))
-    if len(q) < 4 or len(a) < PART_SUBSEQUENCE * len(q) or len(a) > 4 * len(q) + 12:
+    if len(q) < 4 or len(a) < PART_SUBSEQUENCE * len(q):
         return False
     own, asked = shingles(a), shingles(q)
-    contained, common = len(own & asked) / len(own), subsequence(q, a) / len(q)
+    contained = len(own & asked) / len(own)
+    if contained < min(COPY_CONTAINMENT, PART_CONTAINMENT):
+        return False
+    common = subsequence(q, a) / len(q)
     return contained >= COPY_CONTAINMENT and common >= COPY_SUBSEQUENCE or contained >= PART_CONTAINMENT and common >= PART_SUBSEQUENCE
 
 
@@ -257,7 +270,7 @@ def defect_of(question: str | None, answer: str | None, answerable: bool | None)
     if answerable is not True:
         return None
     q = plain(question)
-    if is_refusal(a):
+    if is_refusal(a, q):
         return "refusal"
     if is_copy(q, a):
         return "copied"

@@ -49,3 +49,11 @@ def test_rows_repeats_nulls_and_long_texts(spark):
 def test_subsequence_like_brute_force():
     a, b = list("abcbdab"), list("bdcaba")
     assert pair_defects.subsequence(a, b) == 4 and pair_defects.subsequence([], b) == 0
+
+
+def test_no_length_hides_a_refusal_or_a_copy():
+    long = "在 Dravek 8.1 集群的北方机房里，运维人员按照《变更订阅运维指南》第三章的要求依次停止备用节点、校验日志副本并重新加载缓存目录以后，参数 net.rotate-quota 的取值依据是什么"
+    assert len(pair_defects.tokens(long)) > 60
+    assert pair_defects.defect_of(long + "？", f"抱歉，我无法回答关于{long}的问题。", True) == "refusal"
+    assert pair_defects.defect_of(Q, Q * 9, True) == "copied"
+    assert pair_defects.defect_of(long + "？", FULL * 9, True) is None
