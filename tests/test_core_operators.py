@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from corpusloom import session
 from corpusloom.operators import corpus, elements, evaluation, retrieval
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.skew import hot_keys, spread_lookup
@@ -106,6 +109,43 @@ def test_retrieval_on_nulls_ties_and_empty(spark):
     assert retrieval.bm25_topk(queries, texts.limit(0), 2).count() == 0
 
 
+def test_keyword_search_keeps_its_index_near_the_texts_size(spark):
+    draw = random.Random(5)
+    rows = [(i, " ".join(f"w{draw.randrange(900)}" for _ in range(300))) for i in range(500)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = texts.where("doc_id < 3").selectExpr("doc_id query_id", "text query_text")
+    session.ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("part-*"))
+    before = size()
+    found = retrieval.bm25_topk(queries, texts, 1).collect()
+    assert sorted((r.query_id, r.doc_id) for r in found) == [(0, 0), (1, 1), (2, 2)]
+    assert 0 < size() - before < sum(len(t) for _, t in rows)
+
+
+def test_keyword_search_scores_are_those_of_brute_force(monkeypatch):
+    draw = random.Random(6)
+    monkeypatch.setattr(retrieval, "STRIDE", 100)
+    monkeypatch.setattr(retrieval, "RUN", 4)
+    words = [f"w{i}" for i in range(40)]
+    idf = {w: draw.random() if i % 3 else 0.5 for i, w in enumerate(words)}
+    texts = []
+    for i in [None, None, *range(700, 10, -1), 500, 500]:
+        held = draw.sample(words[: draw.choice((2, 10, 40))], 2)
+        texts.append({"name": i and f"n{i:04}", "norm": draw.choice((0.5, 1.0)), "terms": " ".join(held), "tfs": f"{draw.randrange(1, 3)} 1"})
+    asked = [{"query_id": q, "terms": " ".join(t), "idfs": [idf[w] for w in t]} for q in range(60) if (t := draw.sample(words, draw.choice((1, 3, 12))))]
+    schema = pa.schema({"name": pa.string(), "norm": pa.float64(), "terms": pa.string(), "tfs": pa.string()})
+    got = retrieval.best_texts(pa.Table.from_pylist(asked), pa.Table.from_pylist(texts, schema), 5, "name").to_pylist()
+    for a in asked:
+        scores = {}
+        for t in texts:
+            tf = dict(zip(t["terms"].split(), map(int, t["tfs"].split()), strict=True))
+            if hits := [idf[w] * tf[w] / (tf[w] + t["norm"]) for w in a["terms"].split() if w in tf]:
+                scores[t["name"]] = scores.get(t["name"], 0) + sum(hits)
+        best = sorted(((-round(x, 6), name or "") for name, x in scores.items()))[:5]
+        assert [(-round(r["score"], 6), r["name"] or "") for r in got if r["query_id"] == a["query_id"]] == best
+
+
 def test_fusion_prefers_what_both_rank(spark):
     dense = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query_id int, k string, rank int")
     keyword = spark.createDataFrame([(1, "b", 1), (1, "c", 2)], "query_id int, k string, rank int")
