@@ -34,3 +34,8 @@ def test_hybrid_retrieval_searches_documents_without_vectors(spark):
     sql = registry.oracle_sql()["hybrid_retrieval"]
     assert "doc_id in (select vec_id from embeddings)" not in sql
     assert spark_rows(registry.queries()["hybrid_retrieval"](spark, folder)) == sql_rows(sql, folder)
+
+
+def test_metrics_by_type_reads_only_the_query_set(spark):
+    found = registry.queries()["metrics_by_type"](spark, DATA)
+    assert "reference_answer" not in found._jdf.queryExecution().optimizedPlan().toString()
