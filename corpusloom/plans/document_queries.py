@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import corpus, documents, elements, evaluation, images, markdown, retrieval, scopes
 from corpusloom.plans.core_queries import CANDIDATES, case_set, catalog_latest, current_cases, current_elements, hybrid_retrieval, revision_components, table_rows
-from corpusloom.session import ensure_checkpoint_dir, table
+from corpusloom.session import cut_lineage, ensure_checkpoint_dir, table
 from corpusloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Images that one answer or one version shows.
 IMAGES = 3
+#: Documents that are looked up by a broadcast of their ids.
+FEW = 200_000
 
 
 def current_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -172,9 +174,15 @@ def vector_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reranked_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    """The fused results of the hybrid search, ordered by the share of the query's tokens that they hold."""
+    """The fused results of the hybrid search, ordered by the share of the query's tokens that they hold.
+
+    Up to ``FEW`` documents found are sent to where the texts are, so that only their texts are shuffled.
+    """
     texts = table(spark, d, "documents")
-    found = hybrid_retrieval(spark, d).select("query_id", "doc_id", "rank").join(texts.select("doc_id", "text"), "doc_id")
+    found = cut_lineage(hybrid_retrieval(spark, d).select("query_id", "doc_id", "rank"))
+    ids = found.select("doc_id").distinct()
+    held = texts.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi")
+    found = found.join(held, "doc_id")
     asked = texts.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query_text"))
     return retrieval.reranked(found.join(asked, "query_id", "left"), CANDIDATES)
 

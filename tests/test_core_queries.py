@@ -39,3 +39,13 @@ def test_hybrid_retrieval_searches_documents_without_vectors(spark):
 def test_metrics_by_type_reads_only_the_query_set(spark):
     found = registry.queries()["metrics_by_type"](spark, DATA)
     assert "reference_answer" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reranked_retrieval_shuffles_only_texts_that_were_found(spark, monkeypatch):
+    from corpusloom.plans import document_queries
+
+    found = document_queries.reranked_retrieval(spark, DATA)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark_rows(found)
+    monkeypatch.setattr(document_queries, "FEW", 0)
+    assert spark_rows(document_queries.reranked_retrieval(spark, DATA)) == rows
