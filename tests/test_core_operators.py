@@ -123,6 +123,13 @@ def test_keyword_search_keeps_its_index_near_the_texts_size(spark):
     assert 0 < size() - before < sum(len(t) for _, t in rows)
 
 
+def test_keyword_search_joins_no_pairs_of_query_and_text(spark):
+    texts = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
+    found = retrieval.bm25_topk(texts.toDF("query_id", "query_text"), texts, 1)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.query_id, r.doc_id) for r in found.collect()) == [(1, 1), (2, 2)]
+
+
 def test_keyword_search_scores_are_those_of_brute_force(monkeypatch):
     draw = random.Random(6)
     monkeypatch.setattr(retrieval, "STRIDE", 100)
