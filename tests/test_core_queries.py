@@ -49,3 +49,13 @@ def test_reranked_retrieval_shuffles_only_texts_that_were_found(spark, monkeypat
     rows = spark_rows(found)
     monkeypatch.setattr(document_queries, "FEW", 0)
     assert spark_rows(document_queries.reranked_retrieval(spark, DATA)) == rows
+
+
+def test_context_budget_takes_a_repeated_document_as_often_as_sql(spark, tmp_path):
+    rows = [(i, f"alpha n{i % 7} " * (i % 5 + 1), f"alpha n{i % 7}") for i in range(1, 121)]
+    documents = spark.createDataFrame([*rows, rows[49], rows[6]], "doc_id long, text string, title string")
+    documents.toPandas().to_parquet(tmp_path / "documents.parquet")
+    (tmp_path / "embeddings.parquet").symlink_to(f"{DATA}/embeddings.parquet")
+    found = registry.queries()["context_budget"](spark, str(tmp_path))
+    assert spark_rows(found) == sql_rows(registry.oracle_sql()["context_budget"], str(tmp_path))
+    assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
