@@ -173,6 +173,18 @@ def test_retrieval_metrics(spark):
     assert found == {"q": (0.5, 0.333333, 0.5), "r": (0.0, 0.0, 0.0)}
 
 
+def test_retrieval_metrics_compute_the_ranking_once(spark):
+    texts = spark.createDataFrame([("a", "x y"), ("b", "y z"), ("c", "z")], "key string, text string")
+    asked = spark.createDataFrame([("q", "x"), ("r", "y z"), ("s", "w")], "query_id string, query_text string")
+    gold = spark.createDataFrame([("q", "a"), ("q", None), ("r", "b"), ("r", "b"), ("s", "a"), (None, "a")], "query_id string, key string")
+    found = evaluation.retrieval_metrics(gold, retrieval.bm25_topk(asked, texts, 5, "key"), 5)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == {"q": (0.5, 1.0, 1.0), "r": (1.0, 0.333333, 1.0), "s": (0.0, 0.0, 0.0), None: (0.0, 0.0, 0.0)}
+    odd = spark.createDataFrame([("q", "", 1), ("q", None, 2), ("r", "b", 6), (None, "a", 1)], "query_id string, key string, rank int")
+    gold = gold.unionByName(spark.createDataFrame([("q", "")], gold.schema))
+    assert {r[0]: tuple(r)[1:] for r in evaluation.retrieval_metrics(gold, odd, 5).collect()} == {"q": (0.333333, 0.0, 1.0), "r": (0.0,) * 3, "s": (0.0,) * 3, None: (0.0,) * 3}
+
+
 def test_packed_chunks_keep_limit_runs_and_short_tails(spark):
     rows = [
         ("v", 0, "a", ["x"], "one " * 5), ("v", 1, "b", ["x"], "b" * 25), ("v", 2, "c", ["x"], "tail"), ("v", 3, "d", ["y"], "z" * 90), ("v", 4, "e", ["y"], None),
